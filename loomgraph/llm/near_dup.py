@@ -7,8 +7,9 @@
    lowers the estimate's variance. A document stops at the first level that can't lower any slot.
 3. 25 bands of 5 slots: a pair at similarity 0.85 shares a band but for 4 in 10 million, at 0.8 but for 5 in 100,000.
 4. In each bucket every member is compared with the bucket's smallest id, on full sets. Links are closed to
-   components. Buckets that still hold several components go on to an exact prefix-filter join of their members,
-   which finds every link between them without listing a bucket's pairs.
+   components. Where a bucket still holds several components, its other pairs are compared if it has a handful of
+   members; the members of larger ones go on to an exact prefix-filter join, which finds every link between them
+   without listing a bucket's pairs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from .common import slices, stash, text_bytes, with_text
 BANDS, ROWS = 25, 5
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
+#: A bucket's members up to this number are compared directly, larger buckets by prefix filter.
+SMALL = 6
+#: Bits of the largest bitmap of ids, 16 MB.
+MOST_BITS = 1 << 27
 #: Elements whose permutations are held at once.
 HELD = 60_000
 
@@ -170,17 +175,35 @@ def signatures(docs: DataFrame) -> DataFrame:
     return with_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
+def marks(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the ids' hashes: 16 bits for each id, between 1 and MOST_BITS in all, whatever the data. It
+    only spares work: an id that it wrongly lets through is no pair's member."""
+    bits = min(MOST_BITS, max(1 << 15, 1 << (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    out = np.zeros(bits, bool)
+    for row in rows.collect():
+        out[row.part << 15 : (row.part + 1) << 15] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")
+    return np.packbits(out)
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and shingle set (8 bytes each, sorted) of the documents named in `ids`."""
+    """id and shingle set (8 bytes each, sorted) of the documents named in `ids` and of a few others. Texts are not
+    shuffled: each task drops the rows that the bitmap rules out."""
+    bitmap = marks(ids)
+    sent, bits = docs.sparkSession.sparkContext.broadcast(bitmap), len(bitmap) * 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bitmap[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
             for part in slices(batch, "text", PIECE):
                 sets = [s.tobytes() for s in shingle_sets(*text_bytes(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "members"])
 
-    named = with_text(docs).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return named.mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+    rows = with_text(docs).filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    return rows.mapInArrow(run, "id long, members binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,9 +270,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = stash(components(links), "components")
 
     placed = held.select("band", F.col("a").alias("id")).join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).filter("x <> y and n > 2")
-    open_ids = stash(placed.join(mixed.select("band"), "band", "left_semi").select("id", "component").distinct(), "open")
-    more = stash(verified(prefix_pairs(open_ids, sets, percent), sets, percent), "more")
+    mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.min("id").alias("leader")).filter("x <> y and size > 2")
+    unsettled = stash(placed.join(mixed.select("band", "size", "leader"), "band"), "open")
+    pairs = stash(few_pairs(unsettled.filter(F.col("size") <= SMALL)).union(prefix_pairs(unsettled.filter(F.col("size") > SMALL).select("id", "component").distinct(), sets, percent)).distinct(), "pairs")
+    more = stash(verified(pairs, sets, percent), "more")
     if not more.isEmpty():
         found = stash(components(links.union(more)), "components")
 
@@ -258,9 +282,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def few_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket (SMALL at most) that are of different components and not yet compared."""
+    of = members.filter("id <> leader").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("id", "component"))).alias("m"))
+    one = of.select("m", F.posexplode("m").alias("i", "x"))
+    two = one.select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
+    return two.filter("x.component <> y.component").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Every pair of `members` (id, component) of different components that can reach the similarity: those that
-    share one of their n - ceil(percent * n / 100) + 1 rarest shingles (Chaudhuri et al., 2006). Exact."""
+    share one of their n - ceil(percent * n / 100) + 1 rarest shingles (Chaudhuri et al., 2006), at places that leave
+    room for enough others (Xiao et al., 2008). Exact."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,9 +310,10 @@ def prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     ranked = rows.join(common, "item", "left").select("id", "component", "n", "item", F.coalesce("df", F.lit(1)).alias("df"))
     ordered = ranked.groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("s"))
     keep = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ordered.select("id", "component", "n", F.explode(F.slice("s", F.lit(1), keep)).alias("p")).filter("p.df > 1")
-    prefix = stash(prefix.select("id", "component", "n", F.col("p.item").alias("item")), "prefix")
-    left = prefix.select("item", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = prefix.select("item", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    return left.join(right, "item").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    prefix = ordered.select("id", "component", "n", F.posexplode(F.slice("s", F.lit(1), keep)).alias("at", "p")).filter("p.df > 1")
+    prefix = stash(prefix.select("id", "component", "n", "at", F.col("p.item").alias("item")), "prefix")
+    left = prefix.select("item", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), (F.col("n") - F.col("at")).alias("ra"))
+    right = prefix.select("item", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), (F.col("n") - F.col("at")).alias("rb"))
+    # at the first shared shingle, it and all that follow it in either set must suffice for the overlap
+    room = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return left.join(right, "item").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room).select("a", "b").distinct()

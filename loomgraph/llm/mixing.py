@@ -58,7 +58,8 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int =
     rows, names = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
     other = table.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
     other = F.broadcast(other) if rows <= MOST_ROWS and names <= MOST_BYTES else other
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), 11) / float(1 << 53)
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
     whole = F.floor("_rate")
     copies = whole + F.when(drawn < F.col("_rate") - whole, 1).otherwise(0)
     return docs.join(other, docs["source"].eqNullSafe(other["_source"])).select(*[docs[c] for c in docs.columns], F.col("_size"), F.col("_target"), copies.alias("_copies"))

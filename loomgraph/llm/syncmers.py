@@ -8,14 +8,16 @@ A text of fewer than k pieces has one anchor, the hash of all of it; an empty on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, with_text
+from .common import with_text
 
 K, S = 5, 2
 #: A fingerprint keeps so many of its text's distinct anchors, the smallest hashes, from the whole text.
 KEPT = 64
+#: Ids in a range, and ranges at most.
+ROWS, RANGES = 2000, 20_000
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
 
 
@@ -75,19 +77,43 @@ def _first(anchors: Column) -> Column:
     return F.filter(anchors, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """doc_id and next_id, the next larger one; after the largest comes the smallest. Distinct ids are dealt out by
-    range and numbered within each range; only the ranges' first ids (one row each) meet in one task."""
-    n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    numbered = stash(ranged.select("doc_id", F.monotonically_increasing_id().alias("no")), "numbered")
-    heads = numbered.groupBy(F.shiftright("no", 33).alias("part")).agg(F.min("doc_id").alias("head"))
-    heads = heads.orderBy("part").agg(F.array_sort(F.collect_list(F.struct("part", "head"))).alias("h"))
-    pairs = F.arrays_zip(F.col("h.part").alias("part"), F.concat(F.slice("h.head", 2, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h.head", 1, 1)).alias("head"))
-    after = heads.select(F.explode(pairs).alias("p")).select(F.col("p.part").alias("part"), F.col("p.head").alias("head"))
-    right = numbered.select((F.col("no") - 1).alias("no"), F.col("doc_id").alias("next_id"))
-    near = numbered.join(right, "no", "left").withColumn("part", F.shiftright("no", 33))
-    return near.join(F.broadcast(after), "part").select("doc_id", F.coalesce("next_id", "head").alias("next_id"))
+def bounds(ids: DataFrame) -> list[int]:
+    """First ids of ranges of about equal counts, the least id first: ROWS ids in each, and 8 ranges for each shuffle
+    partition at least, RANGES in all at most, so that their number is bounded whatever the table's size."""
+    n, least = ids.agg(F.count("*"), F.min("doc_id")).first()
+    parts = min(RANGES, max(n // ROWS, 8 * int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))), max(n, 1))
+    if parts < 2:
+        return [] if least is None else [least]
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    return sorted({least, *cuts})
+
+
+def place(key: Column, firsts: list[int]) -> Column:
+    """The number of the range that holds the key: a search among every k-th first id, then among k of them."""
+    k = max(1, round(len(firsts) ** 0.5))
+    table = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
+    before = lambda a: F.size(F.filter(a, lambda x: x <= key))
+    coarse = before(table(firsts[::k]))
+    return (coarse - 1) * k + before(F.slice(table(firsts), (coarse - 1) * k + 1, k)) - 1
+
+
+def with_next(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Adds next_<name> for each name: the values of the row with the next larger doc_id, after the largest those of
+    the smallest. doc_id is unique and not null. Rows are dealt out once, by ranges of ids; the first row of a range is
+    also sent to the range before it, where it stands last."""
+    firsts = bounds(rows.select("doc_id"))
+    if not firsts:
+        return rows.select("*", *[F.col(n).alias(f"next_{n}") for n in names])
+    last = len(firsts) - 1
+    own = place(F.col("doc_id"), firsts)
+    starts = F.get(F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>"), F.col("_range")) == F.col("doc_id")
+    to = lambda r, guest: F.struct(r.cast("int").alias("range"), guest.cast("int").alias("guest"))
+    home = to(F.col("_range"), F.lit(0))
+    sent = F.when(starts, F.array(home, to(F.when(F.col("_range") > 0, F.col("_range") - 1).otherwise(last), F.lit(1)))).otherwise(F.array(home))
+    dealt = rows.withColumn("_range", own).withColumn("_to", F.explode(sent))
+    window = Window.partitionBy(F.col("_to.range")).orderBy(F.col("_to.guest"), F.col("doc_id"))
+    out = dealt.select("*", *[F.lead(n).over(window).alias(f"next_{n}") for n in names])
+    return out.filter("_to.guest = 0").drop("_range", "_to")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,23 +124,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     of others. Rows without doc_id have no next one: they are edited with themselves. Empty tables give no rows.
     """
     rows = with_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.char_length("text")).alias("most"))
-    ids = stash(ids, "ids")
-    ways = following(ids.select("doc_id")).join(ids.select("doc_id", "most"), "doc_id")
-    ways = stash(ways.select("next_id", F.col("doc_id").alias("prev_id"), F.floor(F.col("most") / 4).cast("int").alias("most")), "ways")
-
-    # both joins deal out (doc_id, text) alike, so that the text is shuffled once; anchors are found after it
     placed = rows.filter("doc_id is not null")
-    sent = placed.join(ways, F.col("doc_id") == F.col("next_id")).select("prev_id", F.expr("substring(text, 1, most)").alias("tail"), "text")
-    sent = with_anchors(sent, "text", "anchors").select("prev_id", "tail", sketch(F.col("anchors")).alias("next_kept"))
-    if not ids.filter("n > 1").isEmpty():
-        sent = sent.groupBy("prev_id").agg(F.min(F.struct("tail", "next_kept")).alias("x")).select("prev_id", "x.tail", "x.next_kept")
-    alone = rows.filter("doc_id is null").withColumn("tail", F.col("text")).withColumn("next_kept", F.lit(None).cast("array<bigint>"))
-    rows = placed.join(sent, F.col("doc_id") == F.col("prev_id")).drop("prev_id").unionByName(alone).withColumn("n_chars", F.char_length("text"))
+    repeated = not placed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    sketched = lambda r: with_anchors(r, "text", "anchors").withColumn("kept", sketch(F.col("anchors"))).drop("anchors")
+    if repeated:
+        one = with_next(sketched(placed.groupBy("doc_id").agg(F.min("text").alias("text"))), ["text", "kept"])
+        follow = sketched(placed).join(one.select("doc_id", "next_text", "next_kept"), "doc_id")
+    else:
+        follow = with_next(sketched(placed), ["text", "kept"])
+    alone = sketched(rows.filter("doc_id is null")).withColumn("next_text", F.col("text")).withColumn("next_kept", F.col("kept"))
+    rows = follow.unionByName(alone).withColumn("n_chars", F.char_length("text"))
     need = "cast(floor(n_chars / 4) as int)"
-    edited = F.expr(f"concat(substring(text, 1, n_chars - {need}), substring(tail, 1, {need}))")
-    rows = with_anchors(rows.withColumn("edited", edited), "text", "anchors").withColumn("kept", sketch(F.col("anchors")))
-    rows = with_anchors(rows, "edited", "edited_anchors").withColumn("edited_kept", sketch(F.col("edited_anchors")))
+    edited = F.expr(f"concat(substring(text, 1, n_chars - {need}), substring(next_text, 1, {need}))")
+    rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors").withColumn("edited_kept", sketch(F.col("edited_anchors")))
     return rows.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
@@ -122,5 +144,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("kept")).alias("fingerprint"),
         fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        likeness(F.col("kept"), F.coalesce("next_kept", "kept")).alias("near_next"),
+        likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
     )

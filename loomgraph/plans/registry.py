@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries  # noqa: F401  registers its queries
+from . import graph_queries, text_queries  # noqa: F401  they register their queries
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

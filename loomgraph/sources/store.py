@@ -37,8 +37,11 @@ def contains(columns: list[Column], needle: str | None) -> Column:
 def listing(rows: DataFrame, columns: list[str], needle: str | None = None, equal: dict[str, str] | None = None, any_of: tuple[str, list[str]] | None = None) -> DataFrame:
     """Rows by text in columns, equality of metadata entries and overlap of an array column."""
     test = contains([F.col(c) for c in columns], needle)
+    clean = lambda c: F.lower(F.trim(c))
     for k, v in (equal or {}).items():
-        test &= F.coalesce(F.lower(F.trim(F.element_at(F.map_filter("metadata", lambda a, _, k=k: F.lower(F.trim(a)) == k.strip().lower()), F.lit(k)))) == v.strip().lower(), F.lit(False))
+        entry = F.struct(F.lit(k.strip().lower()).alias("key"), F.lit(v.strip().lower()).alias("value"))
+        held = F.transform(F.map_entries("metadata"), lambda e: F.struct(clean(e["key"]).alias("key"), clean(e["value"]).alias("value")))
+        test &= F.coalesce(F.array_contains(held, entry), F.lit(False))
     if any_of and any_of[1]:
         test &= F.arrays_overlap(F.col(any_of[0]), F.array(*map(F.lit, any_of[1])))
     return rows.filter(test)

@@ -49,30 +49,30 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = C
 
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
-    """The rows of `docs` (doc_id, text, source and any others) with source_size, target and copies.
+    """row (a struct of all columns of `docs`, so that no name can clash), source_size, target and copies for each row
+    of `docs` (doc_id, text, source and any others).
 
     Null and blank texts have size 0 and are copied like others. Rows without doc_id draw by their text; repeated
     rows draw alike. An empty table gives no rows.
     """
     table = stash(shares(docs.select("source", "text"), weights, ceiling), "shares")
     rows, names = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
-    other = table.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    other = F.broadcast(other) if rows <= MOST_ROWS and names <= MOST_BYTES else other
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
+    table = F.broadcast(table) if rows <= MOST_ROWS and names <= MOST_BYTES else table
+    nested = docs.select(F.struct("*").alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("row.text", F.lit(""))))
     drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
-    whole = F.floor("_rate")
-    copies = whole + F.when(drawn < F.col("_rate") - whole, 1).otherwise(0)
-    return docs.join(other, docs["source"].eqNullSafe(other["_source"])).select(*[docs[c] for c in docs.columns], F.col("_size"), F.col("_target"), copies.alias("_copies"))
+    whole = F.floor("rate")
+    copies = whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)
+    return nested.join(table, F.col("row.source").eqNullSafe(F.col("source"))).select("row", "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` with each row as often as the mix takes it; columns unchanged."""
-    again = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
-    rows = planned(docs, **options).filter("_copies > 0")
-    return rows.withColumn("_n", again).select(*docs.columns)
+    rows = planned(docs, **options).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    rows = planned(docs.select("doc_id", "source", "text"), **options).withColumn("size", size(F.col("text")))
-    return rows.select("doc_id", "size", F.col("_size").alias("source_size"), F.col("_target").alias("target"), (F.col("size") * F.col("_copies")).cast("long").alias("taken"))
+    rows = planned(docs.select("doc_id", "source", "text"), **options).withColumn("size", size(F.col("row.text")))
+    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

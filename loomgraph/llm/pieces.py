@@ -9,6 +9,7 @@ if BPE leaves the two apart. Exactly one piece is admissible at each position, s
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -16,12 +17,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import in_arrow, texts, with_text
 
-#: Encoded chunks, and pairs of pieces judged, that a worker remembers.
-REMEMBERED = 150_000
+#: Encoded chunks, and pairs of pieces judged, that a worker remembers; of chunks up to twice as many.
+REMEMBERED = 200_000
 SPACE = "▁"
 UNREACHED, SPELT = -2, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -55,7 +55,10 @@ class Pieces:
         self.automaton.make_automaton()
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         self.known: dict[str, tuple[int, ...]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        # what each id stands for; bytes as escapes that UTF-8 puts together again
+        self.texts = [chr(int(n[1:-1], 16)) if k == BYTE and n < "<0x80>" else chr(0xDC00 + int(n[1:-1], 16)) if k == BYTE else "" if k in (CONTROL, UNKNOWN) else n for n, k in zip(self.names, self.kinds, strict=True)]
+        self.apart: dict[int, bool] = {}
         spaced = any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids)
         broken = any("\n" in p for p in self.ids if len(p) > 1)
         # chunks that no piece crosses, so that each is encoded alone and remembered
@@ -70,16 +73,24 @@ class Pieces:
         text = SPACE + text if self.dummy else text
         known, out = self.known, []
         for chunk in self.chunks(text) if self.chunks else [text]:
-            ids = known.get(chunk)
-            if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = tuple(self._encoded(chunk))
-                if len(chunk) <= 64:
-                    known[chunk] = ids
-            out += ids
+            try:
+                out += known[chunk]
+            except KeyError:
+                out += self._remembered(chunk)
+                known = self.known
         return out
 
+    def _remembered(self, chunk: str) -> tuple[int, ...]:
+        """From the older half of the memory, or encoded; kept in the newer half."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = tuple(self._encoded(chunk))
+        if len(chunk) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = ids
+        return ids
+
     def _encoded(self, chunk: str) -> Iterable[int]:
         if not self.unigram:
             if chunk in self.whole:
@@ -96,18 +107,14 @@ class Pieces:
         if self.unigram:
             self._best_sums(text, last, length)
         else:
-            apart, ready = self.apart, 0
+            apart = self.apart
             for end, (piece, size) in self.automaton.iter(text):
                 at = end + 1
-                if last[at] != UNREACHED:
+                if last[at] >= 0:
                     continue
-                while ready < end:
-                    ready += 1
-                    if last[ready] == UNREACHED:
-                        last[ready] = SPELT
                 before = last[at - size]
-                if before >= 0:
-                    ok = apart.get((before, piece))
+                if before >= 0:  # a code point without a piece, spelt in bytes, stands apart from any
+                    ok = apart.get(before << 20 | piece)
                     if not (self._apart(before, piece) if ok is None else ok):
                         continue
                 last[at], length[at] = piece, size
@@ -139,13 +146,13 @@ class Pieces:
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves the two pieces apart."""
-        if len(self.apart) >= 4 * REMEMBERED:
+        if len(self.apart) >= 2 * REMEMBERED:
             self.apart.clear()
-        found = self.apart[left, right] = self._merged(self.names[left] + self.names[right]) == [left, right]
+        found = self.apart[left << 20 | right] = self._merged(self.names[left] + self.names[right]) == [left, right]
         return found
 
     def _spelt(self, char: str) -> list[int]:
-        return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")] if self.bytes else [self.unknown]
+        return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def _merged(self, text: str) -> list[int]:
         """BPE by its definition: again and again the best-scored pair, the leftmost of equals."""
@@ -167,20 +174,9 @@ class Pieces:
     # -- decoding
 
     def decode(self, ids: Iterable[int]) -> str:
-        out, spelt = [], bytearray()
-        names, kinds = self.names, self.kinds
-        for i in ids:
-            if kinds[i] == BYTE:
-                spelt.append(int(names[i][1:-1], 16))
-                continue
-            if spelt:
-                out.append(spelt.decode("utf-8", "surrogatepass"))
-                spelt.clear()
-            if kinds[i] not in (CONTROL, UNKNOWN):
-                out.append(names[i])
-        if spelt:
-            out.append(spelt.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
+        text = "".join(map(self.texts.__getitem__, ids))
+        if not text.isascii():
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
         return (text[1:] if self.dummy and text[:1] == SPACE else text).replace(SPACE, " ")
 
 
@@ -203,7 +199,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         ids = [model.encode(t) for t in rows]
         restored = [model.decode(i) == t.replace(SPACE, " ") for i, t in zip(ids, rows, strict=True)]
         off = np.concatenate([[0], np.cumsum([len(i) for i in ids])])
-        flat = np.fromiter((x for i in ids for x in i), np.int32, off[-1])
+        flat = np.frombuffer(b"".join([array("i", i).tobytes() for i in ids]), np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(restored)], ["doc_id", "n_tokens", "ids", "restored"])
 
     return in_arrow(with_text(docs), run, "doc_id long, n_tokens long, ids array<int>, restored boolean", most=1 << 20)

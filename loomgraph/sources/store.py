@@ -108,9 +108,9 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, require
 def corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Documents and queries of a corpus file; a line of another type is an error."""
     rows = spark.read.schema("type string, doc_id string, text string, title string, qid string, query string, gold_doc_ids array<string>, gold_grades map<string,double>, slice string").json(path)
-    ok = F.coalesce(F.col("type").isin("doc", "query"), F.lit(False))
-    rows = rows.filter(F.assert_true(ok, F.concat(F.lit("unknown record type: "), F.coalesce("type", F.lit("null")))).isNull())
-    return rows.filter("type = 'doc'").select("doc_id", "text", "title"), rows.filter("type = 'query'").select("qid", "query", "gold_doc_ids", "gold_grades", "slice")
+    # one expression, so that no filter on the type can run before the error
+    is_doc = F.when(F.col("type") == "doc", True).when(F.col("type") == "query", False).otherwise(F.raise_error(F.concat(F.lit("unknown record type: "), F.coalesce("type", F.lit("null")))).cast("boolean"))
+    return rows.filter(is_doc).select("doc_id", "text", "title"), rows.filter(~is_doc).select("qid", "query", "gold_doc_ids", "gold_grades", "slice")
 
 
 def tab_separated(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _indel(a: str, b: str) -> float:
@@ -23,7 +24,7 @@ def _indel(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_indel(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
@@ -42,7 +43,7 @@ def _spelling(text: str | None) -> str | None:
     return re.sub(r"^[\W_]+|[\W_]+$", "", "".join(c for c in flat if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def spelling(text: pd.Series) -> pd.Series:
     """One spelling: compatible characters, entities resolved, no accents, no junk at the ends."""
     return text.map(_spelling)
@@ -58,7 +59,7 @@ def _offset(span: str | None, text: str | None) -> int:
     return at
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def span_offset(span: pd.Series, text: pd.Series) -> pd.Series:
     """Where a span begins in a text: exactly, else with any white space and case; -1 if nowhere."""
     return pd.Series([_offset(s, t) for s, t in zip(span, text, strict=True)], dtype="int32")

@@ -54,3 +54,11 @@ def test_the_rest_stands_without_the_llm_folder(monkeypatch):
     monkeypatch.setattr(sys, "meta_path", [Hidden(), *sys.meta_path])
     importlib.invalidate_caches()
     assert entry.queries() == QUERIES and entry.oracle_sql() == SQL
+
+
+def test_import_needs_no_session():
+    import subprocess
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 60"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], check=True)

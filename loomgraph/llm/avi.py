@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, text_bytes, with_text
+from .common import slices, small_batches, text_bytes, with_text
 
 #: Bytes that a payload is padded to a multiple of, with spaces.
 UNIT = 192
@@ -263,7 +263,7 @@ def films(docs: DataFrame) -> DataFrame:
                     out.append(encode_payload(raw[a:b] + b" " * (-(b - a) % UNIT if b > a else UNIT), b - a))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["doc_id", "media"])
 
-    return with_text(docs).mapInArrow(run, "doc_id long, media binary")
+    return small_batches(with_text(docs)).mapInArrow(run, "doc_id long, media binary")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
@@ -291,4 +291,4 @@ def digests(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, clips {CLIPS}"
-    return media.select("doc_id", "media").mapInArrow(run, schema)
+    return small_batches(media.select("doc_id", "media")).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,20 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a worker, at most; the session's own figure if that is lower.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's limit for Arrow batches, so that a worker holds little text at once. The setting is read
+    when a query is planned, which is why it stays lowered."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub(r"\D", "", df.sparkSession.conf.get(key)) or 0)
+    if not 0 < now <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def in_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = 4 << 20) -> DataFrame:
     """mapInArrow with batches cut to about `most` bytes of the column `text`, so that a worker's memory is
     bounded by that or by one document."""
@@ -63,7 +78,7 @@ def in_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
             for part in slices(batch, text, most):
                 yield f(part)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:

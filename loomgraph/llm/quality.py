@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes, with_text
+from .common import slices, small_batches, text_bytes, with_text
 from .near_dup import mix, word_hashes
 
 PASSAGE = 512
@@ -190,7 +190,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Bags | N
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
     found = with_text(docs).join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label")
-    rows = found.mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
+    rows = small_batches(found).mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
     best: dict[int, tuple[int, bytes]] = {}
     for i, label, bag in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
         best[i] = min(best.get(i, (label, bag)), (label, bag))
@@ -203,7 +203,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Bags | N
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """`docs` with held_out, score and predicted; the other columns pass through.
+    """`docs` with held_out, score and predicted; the other columns pass through, but for those of these names.
 
     Null and empty texts are scored as one passage without words. Without any usable label every score is 1, so that
     nothing is rejected. Repeated rows score alike; rows without doc_id aren't held out; no rows give no rows.
@@ -211,6 +211,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
     from pyspark.sql import types as T
 
     model = fitted(docs, labels, sample)
+    docs = docs.drop("held_out", "score", "predicted")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
@@ -221,5 +222,5 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
                 score = np.ones(part.num_rows) if model is None else model.score(*passages(*text_bytes(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "score"])
 
-    rows = docs.mapInArrow(run, schema)
+    rows = small_batches(docs).mapInArrow(run, schema)
     return rows.withColumn("held_out", is_held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

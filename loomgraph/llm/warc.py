@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stash
+from .common import new_path, small_batches, stash
 
 VERSION = "WARC/1.1"
 #: Bytes of a block; of a header at most; and of a payload that are held at once.
@@ -52,7 +52,7 @@ def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST) -> Non
     each, so that files are plain WARC and a task that is lost is written anew by the sink's own commit protocol.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = rows.mapInArrow(sha1_base32, "page_id long, url string, html string, digest string").withColumn("html", F.coalesce("html", F.lit("")))
+    rows = small_batches(rows).mapInArrow(sha1_base32, "page_id long, url string, html string, digest string").withColumn("html", F.coalesce("html", F.lit("")))
     size = F.octet_length("html")
     first = rows.filter((size >= smallest) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     first = stash(first.filter("first <> last").select("digest", "first"), "firsts")

@@ -16,14 +16,16 @@ from loomgraph.llm.common import stash, table
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the classifier, fitted on `labels`, rejects go."""
-    return quality.scored(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    spare = {c: f"own_{c}" for c in docs.columns if c in ("held_out", "score", "predicted")}
+    rows = quality.scored(docs.withColumnsRenamed(spare), table(spark, sf_dir, "labels")).filter("predicted = 1")
+    return rows.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of near copies the document with the smallest id stays, and once if its row is
     repeated. Rows without doc_id stay."""
     found = stash(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    left = docs.join(found.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = near_dup.without(docs, found.filter("not kept").select(F.col("doc_id").alias("id")))
     if found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         return left
     return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null"))

@@ -18,12 +18,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, text_bytes, with_text
+from .common import slices, small_batches, stash, text_bytes, with_text
 
 BANDS, ROWS = 25, 5
 #: Bytes of text hashed at once.
@@ -172,7 +173,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    return with_text(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return small_batches(with_text(docs)).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -203,7 +204,23 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "members"])
 
     rows = with_text(docs).filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    return rows.mapInArrow(run, "id long, members binary")
+    return small_batches(rows).mapInArrow(run, "id long, members binary")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` less the rows whose doc_id is among `ids` (id). Rows that the bitmap of ids clears are kept where they
+    are; only the others, about as many as `ids`, are shuffled for the exact anti-join."""
+    bitmap = marks(ids)
+    sent, bits = docs.sparkSession.sparkContext.broadcast(bitmap), len(bitmap) * 8
+
+    def marked(at: pd.Series) -> pd.Series:
+        place = at.to_numpy()
+        return pd.Series((sent.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool))
+
+    test = F.pandas_udf(marked, "boolean")(F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
+    rows = docs.withColumn("_marked", F.col("doc_id").isNotNull() & test)
+    doubtful = rows.filter("_marked").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    return rows.filter("not _marked").select(*docs.columns).union(doubtful.select(*docs.columns))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -259,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = stash(signatures(docs), "signatures")
     full = known.filter("set_key is not null and doc_id is not null")
     copies = full.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("set_key", "first")
-    classes = stash(known.join(copies, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("class"), "bands"), "classes")
+    classes = stash(known.join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("class"), "bands"), "classes")
     alone = classes.filter("doc_id = class and n_shingles > 0")
     held = alone.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
     buckets = held.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("last")).filter("b <> last").select("band", "b")

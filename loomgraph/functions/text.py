@@ -163,3 +163,14 @@ def any_of(have: Column, need: list[str]) -> Column:
 
 def all_of(have: Column, need: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.array_contains(F.transform(have, lambda x: normal_label(x)), normal_label(F.lit(n))) for n in need], F.lit(True))
+
+
+def fixed_slices(text: Column, most: int) -> Column:
+    """Slices of `most` characters, the fallback of semantic chunking."""
+    n = F.ceil(F.length(text) / most).cast("int")
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(text, i * most + 1, F.lit(most))))
+
+
+def unit_size(entities: Column, dense: int = 12, small: int = 1200, large: int = 6000) -> Column:
+    """Chunk size by how many entities a unit has."""
+    return F.when(entities >= dense, small).otherwise(large)

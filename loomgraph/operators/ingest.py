@@ -126,3 +126,36 @@ def bag_embedding(text: Column, buckets: int = 8) -> Column:
     n = F.greatest(F.length(F.coalesce(text, F.lit(""))), F.lit(1))
     codes = F.transform(F.filter(chars, lambda c: c != ""), lambda c, i: F.struct((i % buckets).alias("b"), F.ascii(c).alias("v")))
     return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.aggregate(F.filter(codes, lambda x: x["b"] == b), F.lit(0.0), lambda s, x: s + x["v"]) / n)
+
+
+def merged_edges(writes: DataFrame) -> DataFrame:
+    """One edge for each uuid of writes (uuid, src, name, dst, seq, properties); without a uuid it is src-name-dst. Later
+    properties go over earlier ones."""
+    keyed = writes.withColumn("uuid", F.coalesce("uuid", F.concat_ws("-", "src", "name", "dst")))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    rows = keyed.groupBy("uuid").agg(F.max_by(F.struct("src", "name", "dst"), "seq").alias("e"), F.array_sort(F.collect_list(F.struct("seq", "properties")), by_seq).alias("w"))
+    empty = F.create_map().cast("map<string,string>")
+    props = F.aggregate("w", empty, lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(F.coalesce(x["properties"], empty), k)), F.coalesce(x["properties"], empty)))
+    return rows.select("uuid", "e.src", "e.name", "e.dst", props.alias("properties"))
+
+
+def deprecated(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges named in gone (uuid) are flagged, and stay."""
+    marked = gone.select("uuid", F.lit(True).alias("_gone")).distinct()
+    return edges.join(marked, "uuid", "left").withColumn("deprecated", F.coalesce("_gone", "deprecated", F.lit(False))).drop("_gone").select(*edges.columns)
+
+
+def mentioned(units: DataFrame, entities: DataFrame) -> DataFrame:
+    """unit, entity: the entities of each unit's document (unit, doc, text; doc, entity) whose names it contains, or all
+    of them if it contains none."""
+    pairs = units.join(entities, "doc").withColumn("hit", F.contains(F.lower("text"), F.lower("entity")))
+    w = Window.partitionBy("unit")
+    return pairs.withColumn("any", F.max(F.col("hit").cast("int")).over(w)).filter((F.col("any") == 0) | F.col("hit")).select("unit", "entity")
+
+
+def ordered_features(pairs: DataFrame, priority: list[str], most: int = 16) -> DataFrame:
+    """doc_id, key, value of pairs (doc_id, pos, key, value): keys by priority, then by first place; the first `most`
+    distinct keys with all their values."""
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), F.col("key")), F.lit(0)), F.lit(len(priority) + 1))
+    rows = pairs.withColumn("_at", F.struct(rank.alias("p"), F.min("pos").over(Window.partitionBy("doc_id", "key")).alias("f")))
+    return rows.withColumn("_k", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_at"))).filter(F.col("_k") <= most).select("doc_id", "key", "value")

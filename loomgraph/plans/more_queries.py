@@ -212,3 +212,45 @@ def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "events").select(F.upper("event_type").alias("name"), F.lit("KIND").alias("type"), F.lit(None).cast("string").alias("happened_at"), F.col("props").alias("description"))
     return ingest.longest_description(rows).select("name_key", "n", F.length("description").cast("long").alias("longest"))
+
+
+_VECTOR_GRAPH = """with pairs as (select a.vec_id a, b.vec_id b, b.label lb, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) s from embeddings a, embeddings b where a.vec_id <> b.vec_id),
+k as (select a, b, row_number() over (partition by a order by s desc, b) r from pairs qualify r <= 3), adj as (select a, b from k union select b, a from k)"""
+
+
+@query(_VECTOR_GRAPH + """, sim as (select a, b from pairs where s >= 0.3 qualify row_number() over (partition by a order by s desc, b) <= 5), kinds as (select distinct adj.a main, label from adj join embeddings on vec_id = adj.b),
+far as (select distinct adj.a main, x.b id from adj join sim on sim.a = adj.b join adj x on x.a = sim.b where x.b <> adj.a)
+select main, id from far join embeddings on vec_id = id where (main, label) in (select (main, label) from kinds)""")
+def neighbours_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of what is similar to an entity's neighbours, of the kinds of its own."""
+    from ..operators import dense
+
+    v, adj = _vector_graph(spark, sf_dir)
+    similar = dense.nearest(v.select("id", "embedding"), v.select(F.col("id").alias("qid"), "embedding"), 5, least=0.3, skip_self=True).select(F.col("qid").alias("near"), F.col("id").alias("like"))
+    one = adj.select(F.col("origin").alias("main"), F.col("nbr").alias("near"))
+    kinds = one.join(v.select(F.col("id").alias("near"), "label"), "near").select("main", "label").distinct()
+    far = one.join(similar, "near").join(adj.select(F.col("origin").alias("like"), F.col("nbr").alias("id")), "like").filter("main <> id").select("main", "id").distinct()
+    return far.join(v.select("id", "label"), "id").join(kinds, ["main", "label"], "left_semi").select("main", "id")
+
+
+@query("""with w as (select 'user:' || o_custkey src, 'part:' || l_partkey dst, o_orderkey seq, o_orderstatus st from orders join lineitem on l_orderkey = o_orderkey), k as (select src || '-BOUGHT-' || dst uuid, src, dst, max(seq) seq from w group by all)
+select uuid, src, dst, seq::varchar last_order from k""")
+def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges without an id merged by their ends, the last properties kept."""
+    from ..operators import ingest
+
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    writes = rows.select(F.lit(None).cast("string").alias("uuid"), F.concat(F.lit("user:"), "o_custkey").alias("src"), F.lit("BOUGHT").alias("name"), F.concat(F.lit("part:"), "l_partkey").alias("dst"), F.col("o_orderkey").alias("seq"), F.create_map(F.lit("order"), F.col("o_orderkey").cast("string")).alias("properties"))
+    return ingest.merged_edges(writes).select("uuid", "src", "dst", F.element_at("properties", "order").alias("last_order"))
+
+
+@query(r"""with m as (select conv_id::varchar as session, 'role ' || min(text) label from conversations group by 1), q as (select item_id qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) q from benchmark),
+sd as (select item_id qid, item_id::varchar as session from benchmark where item_id in (select conv_id from conversations)),
+p as (select qid, session topic, round((0.7 * len([w for w in q if list_contains(list_distinct(regexp_extract_all(lower(label), '[a-z0-9]{3,}')), w)]) / greatest(len(q), 1) + case when (qid, session) in (select (qid, session) from sd) then 0.3 else 0 end)::double, 6) score, exists (select 1 from sd where sd.qid = q.qid) seeded from q, m),
+r as (select *, row_number() over (partition by qid order by score desc, topic)::int rk from p qualify rk <= 10) select qid, topic, score, rk from r where score > 0 or seeded""")
+def topic_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-TSEL: topics by words in their labels and by seed sessions; each conversation is a topic of its own here."""
+    c = table(spark, sf_dir, "conversations")
+    members = c.groupBy(F.col("conv_id").cast("string").alias("session")).agg(F.concat(F.lit("role "), F.min("text")).alias("label")).withColumn("topic", F.col("session"))
+    seeds = questions(spark, sf_dir).join(c.select(F.col("conv_id").alias("qid")).distinct(), "qid").select("qid", F.col("qid").cast("string").alias("session"), F.lit(1).alias("rk"))
+    return bridges.select_topics(questions(spark, sf_dir), members, seeds)

@@ -219,7 +219,7 @@ def collab_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attr_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-ATTR, F20, F21, M19: products of preferred brands and categories."""
     w, seeds = walks(spark, sf_dir)
-    best = w.attributes(seeds).groupBy("seed", "id").agg(F.round(F.max("score"), 6).alias("score"))
+    best = w.attributes(seeds, most=20).groupBy("seed", "id").agg(F.round(F.max("score"), 6).alias("score"))
     return ranked.top(best, 20, ["seed"])
 
 

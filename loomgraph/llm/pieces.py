@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_arrow, texts, with_text
+from .common import slices, small_batches, texts, with_text
 
 #: Encoded chunks, and pairs of pieces judged, that a worker remembers; of chunks up to twice as many.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 SPACE = "▁"
 UNREACHED, SPELT = -2, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -80,6 +80,10 @@ class Pieces:
                 known = self.known
         return out
 
+    def forget(self) -> None:
+        """Gives the memory back; called at the end of a partition."""
+        self.known, self.older, self.apart = {}, {}, {}
+
     def _remembered(self, chunk: str) -> tuple[int, ...]:
         """From the older half of the memory, or encoded; kept in the newer half."""
         ids = self.older.get(chunk)
@@ -193,7 +197,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     encoded like others; an empty table gives no rows. `path`: the .model file, which every executor must find there.
     """
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = pieces(path)
         rows = texts(batch.column(1))
         ids = [model.encode(t) for t in rows]
@@ -202,4 +206,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         flat = np.frombuffer(b"".join([array("i", i).tobytes() for i in ids]), np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off), pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), pa.array(restored)], ["doc_id", "n_tokens", "ids", "restored"])
 
-    return in_arrow(with_text(docs), run, "doc_id long, n_tokens long, ids array<int>, restored boolean", most=1 << 20)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                yield one(part)
+        pieces(path).forget()
+
+    return small_batches(with_text(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, restored boolean")

@@ -24,7 +24,7 @@ SAMPLE, BAG = 4000, 48
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 STEPS, BATCH, SEED = 500, 256, 11
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 # classes of bytes: each lower-case letter, then upper case, digits, blanks, line ends, signs, other
 _class = np.full(256, 55, np.int64)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from functools import reduce
@@ -14,10 +15,26 @@ from pyspark.sql.types import StructType
 MOST = 100
 
 
+_own: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors see: below spark.checkpoint.dir, or a local one where unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomgraph"
-    return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors see, below spark.checkpoint.dir, or a local one where that is unset
+    (tests). All of an application's are removed when its driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomgraph"
+        _own[app] = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _own[app])
+    return f"{_own[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        return
 
 
 def written(df: DataFrame) -> DataFrame:

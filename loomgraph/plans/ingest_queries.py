@@ -149,7 +149,7 @@ def session_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def topic_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G-TOPIC: conversations clustered in order by shared words; tests compare it with plain Python."""
-    rows = session_tokens(spark, sf_dir).withColumn("brain", F.lit("all"))
+    rows = session_tokens(spark, sf_dir).withColumn("tenant", F.lit("all"))
     return bridges.topics(rows).select("topic", "label", "session")
 
 

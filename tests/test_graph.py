@@ -93,7 +93,7 @@ def test_greedy_bridge_choice(spark):
 
 
 def test_topics_in_order(spark):
-    rows = spark.createDataFrame([("b", "s1", ["a", "b", "c"]), ("b", "s2", ["b", "c", "d"]), ("b", "s3", ["x", "y"]), ("b", "s4", ["c", "d"])], "brain string, session string, tokens array<string>")
+    rows = spark.createDataFrame([("b", "s1", ["a", "b", "c"]), ("b", "s2", ["b", "c", "d"]), ("b", "s3", ["x", "y"]), ("b", "s4", ["c", "d"])], "tenant string, session string, tokens array<string>")
     for parts in (1, 4):
         got = bridges.topics(rows.repartition(parts)).collect()
         groups = {}

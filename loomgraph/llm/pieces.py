@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import slices, small_batches, texts, with_text
 
 #: Encoded chunks, and pairs of pieces judged, that a worker remembers; of chunks up to twice as many.
-REMEMBERED = 150_000
+REMEMBERED = 200_000
 SPACE = "▁"
 UNREACHED, SPELT = -2, -1
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -81,8 +81,8 @@ class Pieces:
         return out
 
     def forget(self) -> None:
-        """Gives the memory back; called at the end of a partition."""
-        self.known, self.older, self.apart = {}, {}, {}
+        """Gives the memory of chunks back; called at the end of a partition. Judged pairs, fewer and dearer, stay."""
+        self.known, self.older = {}, {}
 
     def _remembered(self, chunk: str) -> tuple[int, ...]:
         """From the older half of the memory, or encoded; kept in the newer half."""

@@ -16,7 +16,7 @@ MOST_TERMS = 500_000
 def postings(docs: DataFrame) -> DataFrame:
     """id, term, tf, dl (distinct terms) and tokens (terms with repetitions) of docs (id, text)."""
     # counted inside each row, so that no shuffle is needed to count a document's terms
-    listed = docs.select("id", F.array_sort(words(F.col("text"))).alias("w"))
+    listed = docs.select("id", words(F.col("text")).alias("w"))
     sized = listed.select("id", "w", F.size(F.array_distinct("w")).alias("dl"), F.size("w").alias("tokens"))
     terms = sized.select("id", "dl", "tokens", F.explode("w").alias("term"))
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))

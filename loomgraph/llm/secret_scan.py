@@ -1,10 +1,11 @@
 """Secret scans: rules find candidates, a character convolutional network judges every one with its context.
 
 Three rules (assignments, access keys, long hex runs) always report. Besides them every run of 16 or more token
-characters that isn't plain letters of one case is a candidate, which the network accepts or drops. The tables hold no
-labelled secrets, so the labelled findings are made from a seed: keys of many shapes and their look-alikes (long words,
-paths, URLs, versions, dates, identifiers) in neutral and telling contexts. Of these a part is held out to calibrate
-the network's output (Platt) and to set each kind's threshold: the highest that keeps RECALL of the kind's true ones.
+characters outside their findings that isn't plain letters of one case is a candidate, which the network accepts or
+drops. The tables hold no labelled secrets, so the labelled findings are made from a seed: keys of many shapes and their
+look-alikes (long words, paths, URLs, versions, dates, identifiers) in neutral and telling contexts. Of these a part is
+held out to calibrate the network's output (Platt) and to set each kind's threshold: the highest that keeps RECALL of
+the kind's true ones, those that are no candidates counted as lost.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[.=_/+-]*[A-Za-z]*[.=_/+-]*").fullmatch
+PLAIN = re.compile(r"[.=_/+-]*(?:[A-Z]?[a-z]+|[A-Z]+)?[.=_/+-]*").fullmatch
+SHORTEST = 16
 
 BEFORE, INSIDE, AFTER = 20, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
@@ -54,9 +56,18 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def more_candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of token characters that no rule's finding touches."""
-    runs = [(m.start(), m.end()) for m in RUN.finditer(text) if not PLAIN(m.group())]
-    return [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e, _, _ in base)] if base else runs
+    """Runs of SHORTEST or more token characters outside the rules' findings; of a run that findings touch, the rest."""
+    out = []
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        for s, _, e, _, _ in base:  # in order; findings may overlap
+            if s < b and a < e:
+                if s - a >= SHORTEST:
+                    out.append((a, s))
+                a = e
+        if b - a >= SHORTEST:
+            out.append((a, b))
+    return [(a, b) for a, b in out if not PLAIN(text, a, b)]
 
 
 def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +172,18 @@ def labelled(rng: np.random.Generator, n: int = LABELLED) -> list[tuple[str, int
     return out
 
 
+def candidate_scores(rows: list[tuple[str, int, int, int, str]], net: Network) -> list[float | None]:
+    """The best score of the candidates that touch each made finding, as a scan finds them: 0 if there are none, None if
+    a rule reports it."""
+    out: list[float | None] = []
+    for text, a, b, _, _ in rows:
+        base = base_spans(text)
+        spans = [(x, y) for x, y in more_candidates(text, base) if x < b and a < y]
+        ruled = any(s < b and a < e for s, _, e, _, _ in base)
+        out.append(float(net.score(*windows(text, spans)).max()) if spans else None if ruled else 0.0)
+    return out
+
+
 @lru_cache(1)
 def trained(seed: int = SEED, epochs: int = 10) -> Network:
     """The network, its calibration and thresholds; the same at every call with the same seed."""
@@ -186,9 +209,10 @@ def trained(seed: int = SEED, epochs: int = 10) -> Network:
     for _ in range(300):  # Platt scaling by gradient steps
         d = 1 / (1 + np.exp(-(net.scale * out + net.shift))) - truth
         net.scale, net.shift = net.scale - 0.05 * float((d * out).mean()), net.shift - 0.05 * float(d.mean())
-    score = net.score(codes[held], inside[held])
+    true = [rows[i] for i in np.flatnonzero(held) if y[i]]
+    found = candidate_scores(true, net)
     for kind in KINDS:
-        own = np.sort(score[(truth == 1) & (kinds[held] == kind)])
+        own = np.sort([p for r, p in zip(true, found, strict=True) if r[4] == kind and p is not None])
         if len(own):
             net.threshold[kind] = float(max(0.02, own[int((1 - RECALL) * len(own))] - 1e-6))
     return net

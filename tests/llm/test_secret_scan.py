@@ -75,3 +75,25 @@ def test_redaction_leaves_nothing_to_find(spark):
     assert KEY not in got[10].text
     assert not any(brute(r.text) for r in got.values())
     assert ss.redacted(df.limit(0)).count() == 0
+
+
+def candidates(text):
+    return [text[a:b] for a, b in ss.more_candidates(text, ss.base_spans(text))]
+
+
+def test_candidates_of_both_cases_and_beside_findings():
+    assert candidates("QwErTyUiOpAsDfGhJkLz and AbCdEfGhIjKlMnOpQr==") == ["QwErTyUiOpAsDfGhJkLz", "AbCdEfGhIjKlMnOpQr=="]
+    assert candidates("internationalisation INTERNATIONALISATION Internationalisation. ----------------------") == []
+    rest = "/" + KEY * 2
+    assert candidates("AKIA" + "ABCDEFGH12345678" + rest) == [rest]
+    assert candidates("x9" * 10 + "_" + "0123456789abcdef01234567" + "Kq9" + KEY) == ["x9" * 10 + "_", "Kq9" + KEY]
+
+
+def test_recall_of_keys_without_digits_as_a_scan_finds_them():
+    net, rng = ss.trained(), np.random.default_rng(11)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+    keys = ["".join(rng.choice(letters, 24)) for _ in range(300)]
+    found = ss.found_in([f"the value {k} stands alone" for k in keys], net)
+    assert np.mean([len(f) == 1 for f in found]) > 0.9
+    rows = [r for r in ss.labelled(rng, 1500) if r[3] and r[4] == "cnn"]
+    assert np.mean([p is None or p >= net.threshold["cnn"] for p in ss.candidate_scores(rows, net)]) > 0.95

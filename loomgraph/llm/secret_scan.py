@@ -38,6 +38,10 @@ SHORTEST = 16
 
 BEFORE, INSIDE, AFTER = 20, 40, 12
 LENGTH = BEFORE + INSIDE + AFTER
+#: A longer span is judged in windows of INSIDE characters that begin so many apart, the last at its end.
+STEP = 8
+#: Windows held at once.
+HELD = 1 << 14
 _code = np.full(256, 1, np.int64)
 for _i, _c in enumerate(string.printable):
     _code[ord(_c)] = _i + 2
@@ -70,6 +74,11 @@ def more_candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> li
     return [(a, b) for a, b in out if not PLAIN(text, a, b)]
 
 
+def slides(a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of at most INSIDE characters that together cover a span."""
+    return [(x, x + INSIDE) for x in [*range(a, b - INSIDE, STEP), b - INSIDE]] if b - a > INSIDE else [(a, b)]
+
+
 def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Character codes and inside-flags of each span's first 40 characters with 20 before and 12 after."""
     codes, inside = np.zeros((len(spans), LENGTH), np.int64), np.zeros((len(spans), LENGTH), np.float32)
@@ -135,6 +144,32 @@ class Network:
         return g
 
 
+def best(rows: list[str], spans: list[list[tuple[int, int]]], net: Network) -> list[float]:
+    """The largest score in each span, text by text: every character is in one of its windows."""
+    out: list[float] = []
+    parts, owner = [], []
+
+    def judge() -> None:
+        if owner:
+            score = net.score(np.concatenate([c for c, _ in parts]), np.concatenate([i for _, i in parts]))
+            for k, p in zip(owner, score.tolist(), strict=True):
+                out[k] = max(out[k], p)
+        parts.clear()
+        owner.clear()
+
+    for text, own in zip(rows, spans, strict=True):
+        for a, b in own:
+            out.append(0.0)
+            cut = slides(a, b)
+            for i in range(0, len(cut), HELD):
+                parts.append(windows(text, cut[i : i + HELD]))
+                owner += [len(out) - 1] * len(cut[i : i + HELD])
+                if len(owner) >= HELD:
+                    judge()
+    judge()
+    return out
+
+
 def labelled(rng: np.random.Generator, n: int = LABELLED) -> list[tuple[str, int, int, int, str]]:
     """(text, start, end, label, kind) of made findings; half of them secrets."""
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
@@ -180,7 +215,7 @@ def candidate_scores(rows: list[tuple[str, int, int, int, str]], net: Network) -
         base = base_spans(text)
         spans = [(x, y) for x, y in more_candidates(text, base) if x < b and a < y]
         ruled = any(s < b and a < e for s, _, e, _, _ in base)
-        out.append(float(net.score(*windows(text, spans)).max()) if spans else None if ruled else 0.0)
+        out.append(max(best([text], [spans], net)) if spans else None if ruled else 0.0)
     return out
 
 
@@ -223,8 +258,7 @@ def found_in(rows: list[str], net: Network) -> list[list[tuple[int, int, int, in
     base = [base_spans(t) for t in rows]
     runs = [more_candidates(t, b) for t, b in zip(rows, base, strict=True)]
     spans = [[(s[3], s[4]) for s in b] + r for b, r in zip(base, runs, strict=True)]
-    parts = [windows(t, s) for t, s in zip(rows, spans, strict=True) if s]
-    score = net.score(np.concatenate([c for c, _ in parts]), np.concatenate([i for _, i in parts])).tolist() if parts else []
+    score = best(rows, spans, net)
     out, at = [], 0
     for b, r in zip(base, runs, strict=True):
         own = score[at : at + len(b) + len(r)]

@@ -97,3 +97,19 @@ def test_recall_of_keys_without_digits_as_a_scan_finds_them():
     assert np.mean([len(f) == 1 for f in found]) > 0.9
     rows = [r for r in ss.labelled(rng, 1500) if r[3] and r[4] == "cnn"]
     assert np.mean([p is None or p >= net.threshold["cnn"] for p in ss.candidate_scores(rows, net)]) > 0.95
+
+
+def test_every_character_of_a_long_run_is_judged(spark):
+    rng, letters = np.random.default_rng(3), np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    path, names = "docs/guides/setup/install/linux/readme", "name.of.a.long.module.path.with.parts"
+    keys = ["".join(rng.choice(letters, 32)) for _ in range(100)]
+    for form in (path + "/sk_live_{}", names + ".{}", path + "/{}/" + path):
+        runs = [form.format(k) for k in keys]
+        found = ss.found_in([f"see {r} here" for r in runs], ss.trained())
+        assert np.mean([[x[:3] for x in f] == [(4, 3, 4 + len(r))] for f, r in zip(found, runs, strict=True)]) > 0.9
+    assert ss.found_in([f"see {path}/{path}/{path}.html and {names}.{names}"], ss.trained()) == [[]]
+    for n in (16, 40, 41, 48, 95, 1000):
+        cut = ss.slides(7, 7 + n)
+        assert {i for a, b in cut for i in range(a, b)} == set(range(7, 7 + n)) and all(b - a <= ss.INSIDE for a, b in cut)
+    got = ss.redacted(spark.createDataFrame([(1, f"see {path}/{keys[0]} here", None, 0)], DOCS)).first().text
+    assert got == f"see {ss.REDACTED} here"

@@ -80,7 +80,7 @@ def slides(a: int, b: int) -> list[tuple[int, int]]:
 
 
 def windows(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes and inside-flags of each span's first 40 characters with 20 before and 12 after."""
+    """Character codes and inside-flags of each span of at most INSIDE characters (`slides`), with 20 before and 12 after."""
     codes, inside = np.zeros((len(spans), LENGTH), np.int64), np.zeros((len(spans), LENGTH), np.float32)
     for row, (a, b) in enumerate(spans):
         left, middle, right = text[max(0, a - BEFORE) : a], text[a : min(b, a + INSIDE)], text[b : b + AFTER]

@@ -3,19 +3,20 @@
 A text is a row of pieces: its words, those over 16 code points in runs of 16. A k-mer of pieces is an anchor if the
 smallest of its inner s-mers stands at its left or right edge (Edgar, 2021). Whether it is depends on the k-mer alone,
 so an edit changes anchors only where it touches their k-mers, and equal passages have equal anchors at shifted places.
-A text of fewer than k pieces has one anchor, the hash of all of it; an empty one has none.
+A text of fewer than k pieces has one anchor, the hash of all of it; an empty one has none. A fingerprint holds every
+anchor with its place, whatever the text's length, and likeness is counted over all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import with_text
 
 K, S = 5, 2
-#: A fingerprint keeps so many of its text's distinct anchors, the smallest hashes, from the whole text.
-KEPT = 64
 #: Ids in a range, and ranges at most.
 ROWS, RANGES = 2000, 20_000
 PIECE = r"[^\x20\x09-\x0D]{1,16}"
@@ -47,34 +48,44 @@ def with_anchors(rows: DataFrame, text: str, out: str, k: int = K, s: int = S) -
     return rows.withColumn(out, F.when(F.size(w) >= k, found).otherwise(short)).drop(words, mers)
 
 
-def sketch(anchors: Column) -> Column:
-    """The smallest KEPT distinct hashes."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(anchors, lambda x: x["hash"]))), 1, KEPT)
+def hashes(anchors: Column) -> Column:
+    """The distinct hashes."""
+    return F.array_distinct(F.transform(anchors, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the anchors behind two sketches: exact up to KEPT anchors in both, else estimated from
-    the smallest KEPT of both together. Two empty sketches are alike."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, KEPT)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared / F.size(both))
+    """Jaccard similarity of two arrays of distinct hashes. Two empty ones are alike."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+
+
+def fingerprint(anchors: Column) -> Column:
+    """Every anchor in the text's order: the hash in 16 hexadecimal digits, "@", the place."""
+    return F.lower(F.array_join(F.transform(anchors, lambda x: F.concat(F.lpad(F.hex(x["hash"]), 16, "0"), F.lit("@"), x["at"].cast("string"))), "."))
 
 
-def fingerprint(kept: Column) -> Column:
-    return F.array_join(F.transform(kept, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ".")
+def parsed(line: Column) -> Column:
+    """The array of anchors that a fingerprint holds."""
+    parts = F.filter(F.split(line, "[.]"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.struct(F.substring_index(x, "@", -1).cast("int").alias("at"), F.conv(F.substring_index(x, "@", 1), 16, -10).cast("long").alias("hash")))
 
 
 def matches(a: Column, b: Column) -> Column:
     """Positional matching of two arrays of anchors: (at in a, shift to b) of each anchor hash that both hold,
-    at the first place in either. Moved passages show as runs of one shift."""
-    places = F.map_from_entries(F.transform(_first(b), lambda x: F.struct(x["hash"], x["at"])))
-    found = F.transform(_first(a), lambda x: F.struct(x["at"].alias("at"), (F.element_at(places, x["hash"]) - x["at"]).alias("shift")))
-    return F.filter(found, lambda x: x["shift"].isNotNull())
+    at the first place in either, in a's order. Moved passages show as runs of one shift. Both are sorted together, so
+    long texts cost little more than a sort."""
+    tagged = lambda anchors, side: F.transform(anchors, lambda x: F.struct(x["hash"].alias("hash"), F.lit(side).alias("side"), x["at"].alias("at")))
+    first = lambda rows: _after(rows, lambda x, y: F.when(y.isNull() | (x["hash"] != y["hash"]) | (x["side"] != y["side"]), x))
+    both = first(F.sort_array(F.concat(tagged(a, 0), tagged(b, 1))))
+    found = _after(both, lambda x, y: F.when(x["hash"] == y["hash"], F.struct(y["at"].alias("at"), (x["at"] - y["at"]).alias("shift"))))
+    return F.sort_array(found)
 
 
-def _first(anchors: Column) -> Column:
-    hashes = F.transform(anchors, lambda x: x["hash"])
-    return F.filter(anchors, lambda x, i: F.array_position(hashes, x["hash"]) == i + 1)
+def _after(rows: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """What `of` gives for each element and the one before it (null before the first), without nulls."""
+    n = F.size(rows)
+    before = F.concat(F.array(F.get(rows, F.lit(-1))), F.slice(rows, 1, F.greatest(n - 1, F.lit(0))))
+    return F.filter(F.zip_with(rows, F.when(n > 0, before).otherwise(rows), of), lambda x: x.isNotNull())
 
 
 def bounds(ids: DataFrame) -> list[int]:
@@ -126,23 +137,24 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = with_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = rows.filter("doc_id is not null")
     repeated = not placed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    sketched = lambda r: with_anchors(r, "text", "anchors").withColumn("kept", sketch(F.col("anchors"))).drop("anchors")
     if repeated:
-        one = with_next(sketched(placed.groupBy("doc_id").agg(F.min("text").alias("text"))), ["text", "kept"])
-        follow = sketched(placed).join(one.select("doc_id", "next_text", "next_kept"), "doc_id")
+        one = with_next(placed.groupBy("doc_id").agg(F.min("text").alias("text")), ["text"])
+        follow = placed.join(one.select("doc_id", "next_text"), "doc_id")
     else:
-        follow = with_next(sketched(placed), ["text", "kept"])
-    alone = sketched(rows.filter("doc_id is null")).withColumn("next_text", F.col("text")).withColumn("next_kept", F.col("kept"))
+        follow = with_next(placed, ["text"])
+    alone = rows.filter("doc_id is null").withColumn("next_text", F.col("text"))
     rows = follow.unionByName(alone).withColumn("n_chars", F.char_length("text"))
     need = "cast(floor(n_chars / 4) as int)"
-    edited = F.expr(f"concat(substring(text, 1, n_chars - {need}), substring(next_text, 1, {need}))")
-    rows = with_anchors(rows.withColumn("edited", edited), "edited", "edited_anchors").withColumn("edited_kept", sketch(F.col("edited_anchors")))
+    rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, n_chars - {need}), substring(next_text, 1, {need}))"))
+    # anchors are computed after the shuffle, those of the next text once more: they are larger than texts
+    for text in ("text", "edited", "next_text"):
+        rows = with_anchors(rows, text, f"{text}_anchors").withColumn(f"{text}_hashes", hashes(F.col(f"{text}_anchors")))
     return rows.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("kept")).alias("fingerprint"),
-        fingerprint(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(F.col("kept"), F.col("edited_kept")).alias("near_edited"),
-        likeness(F.col("kept"), F.col("next_kept")).alias("near_next"),
+        fingerprint(F.col("text_anchors")).alias("fingerprint"),
+        fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("text_hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("text_hashes"), F.col("next_text_hashes")).alias("near_next"),
     )

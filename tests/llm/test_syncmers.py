@@ -56,3 +56,26 @@ def test_anchors_are_context_free_and_match_by_place(spark):
     assert len(shifts) > 15 and set(shifts) == {-19}
     other = syncmers.with_anchors(df.select("a"), "a", "z", k=6, s=3).first().z
     assert 0 < len(other) < 90
+
+
+def test_long_texts_keep_all_anchors_and_places(spark):
+    def own(t):  # anchors by Spark, likeness and matches by hand
+        df = spark.createDataFrame([(t,)], "t string")
+        return [(x.at, x.hash) for x in syncmers.with_anchors(df, "t", "x").first().x]
+
+    shared = prose(1, 300)
+    texts = [prose(2, 2500) + " " + shared, prose(3, 1700) + " " + shared + " " + prose(4, 900)]
+    a, b = map(own, texts)
+    got = sorted(run(spark, [(1, texts[0]), (2, texts[1])]), key=lambda r: r.doc_id)
+    x, y = ({h for _, h in v} for v in (a, b))
+    assert len(x) > 1000 and got[0].near_next == got[1].near_next == len(x & y) / len(x | y) > 0
+    edited = {h for _, h in own(texts[0][: len(texts[0]) - len(texts[0]) // 4] + texts[1][: len(texts[0]) // 4])}
+    assert got[0].near_edited == len(x & edited) / len(x | edited)
+    assert got[0].fingerprint == ".".join(f"{h % 2**64:016x}@{i}" for i, h in a)
+    df = spark.createDataFrame([(got[0].fingerprint, got[1].fingerprint, "")], "a string, b string, c string")
+    r = df.select(*[syncmers.parsed(F.col(c)).alias(c) for c in "abc"]).withColumn("m", syncmers.matches(F.col("a"), F.col("b"))).withColumn("none", syncmers.matches(F.col("a"), F.col("c"))).withColumn("empty", syncmers.matches(F.col("c"), F.col("c"))).first()
+    assert [tuple(v) for v in r.a] == a and r.c == r.none == r.empty == []
+    place = dict((h, i) for i, h in reversed(b))
+    first = {h: i for i, h in reversed(a)}
+    assert [tuple(v) for v in r.m] == sorted((i, place[h] - i) for h, i in first.items() if h in place)
+    assert sum(v.shift == -800 for v in r.m) > 100

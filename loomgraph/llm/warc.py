@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 from .common import new_path, small_batches, stash
 
 VERSION = "WARC/1.1"
-#: Bytes of a block; of a header at most; and of a payload that are held at once.
+#: Bytes of a block; read beyond it for a header, and more if that runs on; and of a payload that are held at once.
 BLOCK, HEADER, HELD = 8 << 20, 1 << 16, 4 << 20
 #: Payloads of fewer bytes are never replaced by a revisit.
 SMALLEST = 0
 END = "\r\n\r\n"
 HEAD = re.compile(rb"WARC/\d\.\d\r\n(?:[^\r\n]+\r\n)+\r\n")
+OPEN = re.compile(rb"WARC/\d\.\d\r\n(?:[^\r\n]+\r\n)*(?:[^\r\n]+\r?|\r)?\Z")
 HTTP = re.compile(rb"HTTP/\d(?:\.\d)? \d{3}[^\r\n]*\r\n(?:[^\r\n]+\r\n)*\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -100,15 +101,25 @@ def record_at(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | Non
     return (fields, m.end(), int(length)) if length.isdigit() and b"warc-type" in fields else None
 
 
+def record_in(f: pa.NativeFile, data: bytes, start: int, at: int, size: int) -> tuple[bytes, tuple[dict[bytes, bytes], int, int] | None]:
+    """The record at `at` in data, which was read from `start`; data is read on while a header runs beyond it."""
+    more = HEADER
+    while not (record := record_at(data, at)) and start + len(data) < size and OPEN.match(data, at):
+        data += f.read_at(min(more, size - start - len(data)), start + len(data))
+        more *= 2
+    return data, record
+
+
 def found_in(path: str, start: int, size: int, block: int) -> list[tuple[int, int]]:
     """(offset, successor) of the candidates that begin in a block."""
     with opened(path) as f:
         data = f.read_at(min(block + HEADER, size - start), start)
-    out, at = [], data.find(b"WARC/")
-    while 0 <= at < block:
-        if record := record_at(data, at):
-            out.append((start + at, start + record[1] + record[2] + len(END)))
-        at = data.find(b"WARC/", at + 1)
+        out, at = [], data.find(b"WARC/")
+        while 0 <= at < block:
+            data, record = record_in(f, data, start, at, size)
+            if record:
+                out.append((start + at, start + record[1] + record[2] + len(END)))
+            at = data.find(b"WARC/", at + 1)
     return out
 
 
@@ -183,7 +194,10 @@ def _records(path: str, size: int, start: int, entry: int, block: int) -> pa.Rec
     with opened(path) as f:
         data = f.read_at(min(start + block + HEADER, size) - start, start)
         at = entry
-        while start <= at < start + block and (record := record_at(data, at - start)):
+        while start <= at < min(start + block, size):
+            data, record = record_in(f, data, start, at - start, size)
+            if not record:
+                break
             fields, head, length = record
             digest, total, skip = hashlib.sha1(), 0, None
             for a in range(0, length, HELD):
@@ -198,6 +212,8 @@ def _records(path: str, size: int, start: int, entry: int, block: int) -> pa.Rec
                 total += len(part)
             out.append((path, at, fields[b"warc-type"].decode("latin-1"), urn(fields.get(b"warc-record-id")), urn(fields.get(b"warc-refers-to")), fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:"), total, base64.b32encode(digest.digest()).decode()))
             at = start + head + length + len(END)
+        if at != size and not record_in(f, f.read_at(min(HEADER, max(size - at, 0)), at), at, 0, size)[1]:
+            raise ValueError(f"{path}: no record at {at} of {size}")
     kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
     names = ["path", "at", "record_type", "page_id", "refers_to", "digest", "payload_bytes", "payload_digest"]
     columns = zip(*out, strict=True) if out else [[]] * len(kinds)

@@ -42,3 +42,16 @@ def test_repeated_rows_and_an_empty_table(spark):
     got = warc.archived(spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (3, "u", "same")], schema)).collect()
     assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [(1, "response", 0), (1, "response", 0), (3, "revisit", 1)]
     assert warc.archived(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_headers_of_any_length_are_read_and_broken_chains_fail(spark):
+    rows = [(1, "a", "one"), (2, "u" * 200_000, EVIL), (3, "b", "three"), (4, "v" * 70_000, "four")]
+    path = warc.new_path(spark, "test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_archives(spark, path, 5000).collect()
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected(rows)
+    broken = warc.new_path(spark, "test")
+    text = EVIL + "no record" + EVIL
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(broken)
+    with pytest.raises(Exception, match="no record at"):
+        warc.read_archives(spark, broken, 5000).collect()

@@ -6,6 +6,7 @@ itself. Pre-tokens found among them count one each; only the rest go through the
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -22,24 +23,33 @@ LIMIT = 2048
 #: Counts of so many distinct pre-tokens are remembered by a worker.
 REMEMBERED = 200_000
 
-# The public vocabulary file's own pattern and the byte alphabet of byte-level BPE.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The byte alphabet of byte-level BPE.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
 class WordCounter:
-    """Counts as `tokenizers` gives them for a BPE vocabulary with word ends, NFC and lower case."""
+    """Counts as `tokenizers` gives them for a BPE vocabulary with word ends, NFC and lower case. The file's pattern
+    and special strings are read from it; files with other steps are refused."""
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split, letters = (*(spec["pre_tokenizer"] or {}).get("pretokenizers", []), {}, {})[:2]
+        if steps != ["NFC", "Replace", "Lowercase"] or (split.get("behavior"), split.get("invert"), letters.get("type")) != ("Removed", True, "ByteLevel") or spec["model"].get("end_of_word_suffix") != "</w>":
+            raise ValueError(f"{path}: not NFC, blanks, lower case, words by one pattern and byte-level BPE with word ends")
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split = regex.compile(PATTERN).findall
+        # the model's merges alone: words that are normal already must not be normalised again
+        self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, letters]}}))
+        self.split = regex.compile(split["pattern"]["Regex"]).findall
         specials = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1 + len(specials), bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.assigned: set[str] = set()
         self.counts = self.single = self._proven(vocabulary)
 
     def _proven(self, vocabulary: dict[str, int]) -> dict[str, int]:
@@ -70,16 +80,24 @@ class WordCounter:
         parts = self.special.split(text)
         return [w for p in parts for w in self.split(self.normal(p))], len(parts) - 1
 
+    def unassigned(self, text: str) -> bool:
+        """Whether a code point is missing in unicodedata."""
+        new = set(text) - self.assigned
+        missing = {c for c in new if unicodedata.category(c) == "Cn"}
+        self.assigned |= new - missing
+        return bool(missing)
+
     def merged(self, words: list[str]) -> np.ndarray:
-        """Tokens of each of the pre-tokens, by the library's merges over all of them in one string."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
+        """Tokens of each of the pre-tokens, by the library's merges, and nothing else of it, over all of them in one string."""
+        ids = np.array(self.merges.encode(" ".join(words), add_special_tokens=False).ids, np.int64)
         at = np.flatnonzero(self.ends[ids])
         if len(at) != len(words):  # a word that is not kept apart by spaces: ask for each
-            return np.array([len(e.ids) for e in self.library.encode_batch(words, add_special_tokens=False)])
+            return np.array([len(e.ids) for e in self.merges.encode_batch(words, add_special_tokens=False)])
         return np.diff(at, prepend=-1)
 
     def count(self, batch: list[str]) -> list[int]:
-        split = [self.pre_tokens(t) for t in batch]
+        foreign = {i: len(self.library.encode(t, add_special_tokens=False).ids) for i, t in enumerate(batch) if not t.isascii() and self.unassigned(t)}
+        split = [([], foreign[i]) if i in foreign else self.pre_tokens(t) for i, t in enumerate(batch)]
         known = self.counts
         rest = list({w for words, _ in split for w in words if w not in known})
         if rest:

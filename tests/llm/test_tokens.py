@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -27,6 +29,23 @@ def test_counts_are_the_librarys(spark, texts):
     assert by[-1].n_tokens == 0 and by[None].n_tokens == 1
 
 
+def test_counts_of_made_texts_are_the_librarys():
+    """Marks that compose anew after lower-casing, blanks of all kinds, special strings, code points of any plane."""
+    rng, library, own = random.Random(20), Tokenizer.from_file(WORDS), token_counts.WordCounter(WORDS)
+    pool = [*"İıſKÅΣςßẞǄŉﬁeaI'st  \n\t\x1c\x85\u2003\u3000<|>1²Ⅷ中कि-_.", "\u0301", "\u0323", "\u0307", "\u0345", "\u05b0", "\u200d", "\uac00", "\u1100", "\u1161", "\u11a8", "🙂", "re", "ll", "\x00", "\ufeff", "<|endoftext|>", "<|startoftext|>"]
+
+    def text():
+        if rng.random() < 0.7:
+            return "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))
+        spans = (0, 0x250), (0x300, 0x400), (0x1E00, 0x2100), (0, 0xD800), (0xE000, 0x11000)
+        return "".join(chr(rng.randrange(*rng.choice(spans))) for _ in range(rng.randint(0, 12)))
+
+    texts = [text() for _ in range(100_000)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = [n for i in range(0, len(texts), 500) for n in own.count(texts[i : i + 500])]
+    assert [(t, a, b) for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_shortcut_holds_single_tokens_only_and_survives_forgetting(monkeypatch):
     c = token_counts.WordCounter(WORDS)
     library = Tokenizer.from_file(WORDS)

@@ -1,7 +1,12 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are summed per source, the sources' targets follow from their weights, and every document is emitted
-floor(rate) times plus once more with the rate's fraction as probability, drawn from a hash of its id.
+floor(rate) times plus once more with the rate's fraction as probability, seeded by a hash of its id. The hash puts a
+source's documents in a random order; a document's draw is the share of its source's words that stand before its middle
+in that order. Draws made so are as random as the hashes themselves, but a source's copies come to its target within
+half of its largest document (rows of one doc_id count as one), where independent draws would scatter with the root of
+its size. Draws need no sort: words are summed by source and leading bits of the hash, the place where the draws reach
+the fraction is looked up in these sums, and only the rows of that one step, a small part, are summed hash by hash.
 """
 
 from __future__ import annotations
@@ -15,22 +20,30 @@ WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 CEILING = 3
 SEED = 42
-#: A table of sources up to this size (rows, bytes of names) is broadcast; a larger one is joined by shuffle.
-MOST_ROWS, MOST_BYTES = 50_000, 4 << 20
+#: Steps that hashes of 52 bits are summed by, in bits.
+STEP_BITS = 12
+#: A table of sources up to this size (rows, bytes of names) is broadcast; a larger one is joined by shuffle, each
+#: source's rows in SALTS parts.
+MOST_ROWS, MOST_BYTES, SALTS = 50_000, 4 << 20, 64
 
 
 def size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """source, source_size, target and rate of each source; null is a source of its own, last in order.
+def hashed(doc_id: Column, text: Column, seed: int) -> Column:
+    """52 bits of a row's doc_id, or of its text if that is null."""
+    key = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("long")
+
+
+def shares(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """source, source_size, target and rate from source and source_size; null is a source of its own, last in order.
 
     With sources sorted by ceiling * size / weight, those that overrun come first, and a source overruns if its
     ceiling is below its weight's share of what the ones before it leave. That is the end of sharing the excess
     again and again, found in one pass over the sources.
     """
-    sums = docs.groupBy("source").agg(F.sum(size(F.col("text"))).alias("source_size"))
     turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
     cap = F.col("source_size") * float(ceiling)
@@ -48,31 +61,69 @@ def shares(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = C
     return rows.select("source", "source_size", "target", F.least(rate, F.lit(float(ceiling))).alias("rate"))
 
 
-def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
-    """row (a struct of all columns of `docs`, so that no name can clash), source_size, target and copies for each row
-    of `docs` (doc_id, text, source and any others).
-
-    Null and blank texts have size 0 and are copied like others. Rows without doc_id draw by their text; repeated
-    rows draw alike. An empty table gives no rows.
-    """
-    table = stash(shares(docs.select("source", "text"), weights, ceiling), "shares")
-    rows, names = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
-    table = F.broadcast(table) if rows <= MOST_ROWS and names <= MOST_BYTES else table
-    nested = docs.select(F.struct("*").alias("row"))
-    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text:"), F.coalesce("row.text", F.lit(""))))
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size and hash of every row, as a table: all that deciding needs, and texts are read once."""
+    key = hashed(F.col("doc_id"), F.col("text"), seed)
+    return stash(docs.select("doc_id", "source", size(F.col("text")).alias("size"), key.alias("hash")), "sized")
+
+
+def decided(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
+    """source, source_size, target, rate and `until` from `sized` rows: hashes below `until` have draws below the rate's
+    fraction."""
+    step = F.shiftright("hash", 52 - STEP_BITS)
+    steps = stash(rows.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words")), "steps")
+    table = shares(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling)
+    table = stash(table.withColumn("wanted", (F.col("rate") - F.floor("rate")) * F.col("source_size")), "shares")
+    # in each source the first step by whose end the words reach those wanted, and the words before it
+    of = Window.partitionBy("source").orderBy("step")
+    run = steps.withColumn("ends", F.sum("words").over(of)).select(F.col("source").alias("_source"), "step", "ends", (F.col("ends") - F.col("words")).alias("spent"))
+    passed = run.join(table.select("source", "wanted"), F.col("_source").eqNullSafe(F.col("source")))
+    passed = passed.filter("ends >= wanted").groupBy("source").agg(F.min(F.struct("step", "spent")).alias("at")).select(F.col("source").alias("_source"), "at.step", "at.spent")
+    inner = with_source(rows.select("source", "size", "hash", step.alias("_step")), passed, "_source", "source", F.col("hash")).filter("_step = step")
+    # there the first hash whose middle is at or past the words wanted
+    ties = inner.groupBy("source", "hash").agg(F.sum("size").alias("words"), F.first("spent").alias("spent"))
+    past = Window.partitionBy("source").orderBy("hash")
+    middle = F.col("spent") + F.sum("words").over(past) - F.col("words") / 2
+    ties = ties.withColumn("middle", middle).select(F.col("source").alias("_source"), "hash", "middle")
+    beyond = ties.join(table.select("source", "wanted"), F.col("_source").eqNullSafe(F.col("source")))
+    first = beyond.groupBy("source").agg(F.min(F.when(F.col("middle") >= F.col("wanted"), F.col("hash"))).alias("until"), (F.max("hash") + 1).alias("after"))
+    first = first.select(F.col("source").alias("_source"), F.coalesce("until", "after").alias("until"))
+    found = table.join(first, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return stash(found.select("source", "source_size", "target", "rate", "until"), "decided")
+
+
+def with_source(rows: DataFrame, table: DataFrame, name: str, source: str, spread: Column) -> DataFrame:
+    """`rows` joined to a table of one row a source (`name`), broadcast behind a check of its size. A larger one is
+    joined by shuffle, with each source's rows, which may be a third of all, dealt to SALTS parts by `spread`."""
+    n, names = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    same = F.col(source).eqNullSafe(F.col(name))
+    if n <= MOST_ROWS and names <= MOST_BYTES:
+        return rows.join(F.broadcast(table), same)
+    salts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return dealt.join(salts, same & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
+
+
+def copies(hash_: Column) -> Column:
     whole = F.floor("rate")
-    copies = whole + F.when(drawn < F.col("rate") - whole, 1).otherwise(0)
-    return nested.join(table, F.col("row.source").eqNullSafe(F.col("source"))).select("row", "source_size", "target", copies.alias("copies"))
+    return whole + F.when(hash_ < F.col("until"), 1).otherwise(0)
+
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """`docs` (doc_id, text, source and any others) with each row as often as the mix takes it; columns unchanged.
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with each row as often as the mix takes it; columns unchanged."""
-    rows = planned(docs, **options).filter("copies > 0")
+    Null and blank texts have size 0 and are copied like others. Rows without doc_id draw by their text; repeated rows
+    and rows of one doc_id draw alike, as one document of all their words. An empty table gives no rows.
+    """
+    table = decided(sized(docs, seed), weights, ceiling).select(F.col("source").alias("_source"), "rate", "until")
+    nested = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
+    rows = with_source(nested, table, "_source", "row.source", F.struct("row.doc_id", "row.text"))
+    rows = rows.withColumn("copies", copies(hashed(F.col("row.doc_id"), F.col("row.text"), seed))).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
-def taken(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
-    rows = planned(docs.select("doc_id", "source", "text"), **options).withColumn("size", size(F.col("row.text")))
-    return rows.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row; other columns are ignored."""
+    rows = sized(docs, seed)
+    rows = with_source(rows, decided(rows, weights, ceiling).withColumnRenamed("source", "_source"), "_source", "source", F.col("hash"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("hash"))).cast("long").alias("taken"))

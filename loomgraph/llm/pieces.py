@@ -2,8 +2,12 @@
 
 At each position the automaton's output links give every piece that ends there, and each relaxes the best score at
 that position. For unigram models a piece adds its score. A BPE model's scores are merge ranks, whose sum is not what
-BPE maximises; there a piece is admissible at its end only if it may follow the best last piece at its start, that is
-if BPE leaves the two apart. Exactly one piece is admissible at each position, so the same pass gives BPE's own ids.
+BPE maximises, so there the pass runs over another score, by a reduction: a way's score is 0 if BPE leaves every two
+neighbours of it apart, else minus infinity. If BPE's ids of a prefix end in piece p that begins at i, its ids of the
+prefix of length i are the same less p (no merge crosses i), so they are the best way to i; and p alone may follow that
+way's last piece, since ids whose neighbours BPE all leaves apart are BPE's ids of their text. Hence one piece relaxes
+each position, that one is BPE's last piece there, and reading back gives BPE's ids. Ranks of different pieces must
+differ for this. Runs of blanks share the lowest rank; they merge last and leftmost first, which `_run` does.
 """
 
 from __future__ import annotations
@@ -59,6 +63,9 @@ class Pieces:
         # what each id stands for; bytes as escapes that UTF-8 puts together again
         self.texts = [chr(int(n[1:-1], 16)) if k == BYTE and n < "<0x80>" else chr(0xDC00 + int(n[1:-1], 16)) if k == BYTE else "" if k in (CONTROL, UNKNOWN) else n for n, k in zip(self.names, self.kinds, strict=True)]
         self.apart: dict[int, bool] = {}
+        blanks = {self.scores[i] for p, i in self.ids.items() if set(p) == {SPACE} and len(p) > 1}
+        ranks = [self.scores[i] for p, i in self.ids.items() if len(p) > 1 and set(p) != {SPACE}]
+        self.level = len(blanks) <= 1 and max(blanks, default=-1e300) < min(ranks, default=0.0)
         spaced = any(SPACE in p[1:] and p.strip(SPACE) for p in self.ids)
         broken = any("\n" in p for p in self.ids if len(p) > 1)
         # chunks that no piece crosses, so that each is encoded alone and remembered
@@ -100,9 +107,26 @@ class Pieces:
             if chunk in self.whole:
                 return (self.ids[chunk],)
             if SPACE * 2 in chunk:
-                return self._merged(chunk)  # runs of blanks share one score, so ranks alone don't order their merges
+                return self._after_blanks(chunk) if self.level and self.chunks else self._merged(chunk)
         return self._path(chunk)
 
+    def _after_blanks(self, chunk: str) -> list[int]:
+        """Blanks and what follows them: the last blank merges with the rest first, then those that are left."""
+        n = len(chunk) - len(chunk.lstrip(SPACE))
+        rest = list(self._remembered(chunk[n - 1 :])) if n < len(chunk) else []
+        if rest and self.names[rest[0]] == SPACE:
+            return [*self._run(n), *rest[1:]]
+        return [*self._run(n - 1 if rest else n), *rest]
+
+    def _run(self, n: int) -> list[int]:
+        """BPE of n blanks: of pairs of one rank the leftmost merges, so all left of the first pair stays."""
+        done: list[int] = []
+        for _ in range(n):
+            done.append(1)
+            while len(done) > 1 and SPACE * (done[-2] + done[-1]) in self.ids:
+                done[-2:] = [done[-2] + done[-1]]
+        return [self.ids[SPACE * k] for k in done]
+
     def _path(self, text: str) -> list[int]:
         """The pass. last[i] is the piece by which the best way to position i ends, UNREACHED or SPELT."""
         n = len(text)

@@ -89,11 +89,13 @@ with recursive sized as (
 ), shares as (
   select source, s, case when over_cap then 3.0 * s else w * (total - coalesce(sum(3.0 * s) filter (over_cap) over (), 0)) / sum(w) filter (not over_cap) over () end target from capped
 ), rated as (
-  select d.doc_id, d.size, s.s source_size, s.target::double target, least(case when s.s > 0 then s.target / s.s else 0 end, 3.0)::double rate,
-    ('0x' || substr(md5('42:' || coalesce(d.doc_id::varchar, 'text:' || coalesce(d.text, ''))), 1, 13))::bigint / 4503599627370496.0::double drawn
+  select d.doc_id, d.size, s.s source_size, s.target::double target, least(case when s.s > 0 then s.target / s.s else 0 end, 3.0)::double rate, d.source,
+    ('0x' || substr(md5('42:' || coalesce(d.doc_id::varchar, 'text:' || coalesce(d.text, ''))), 1, 13))::bigint hash
   from sized d join shares s on d.source is not distinct from s.source
+), drawn as (
+  select *, sum(size) over (partition by source order by hash range unbounded preceding) ends, sum(size) over (partition by source, hash) own from rated
 )
-select doc_id, size, source_size, target, (size * (floor(rate) + case when drawn < rate - floor(rate) then 1 else 0 end))::bigint taken from rated
+select doc_id, size, source_size, target, (size * (floor(rate) + case when ends - own / 2 < (rate - floor(rate)) * source_size then 1 else 0 end))::bigint taken from drawn
 """
 
 #: The other operators decode media, train models or go through a library's tokens; their tests compare them with

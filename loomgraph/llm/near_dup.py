@@ -18,10 +18,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, small_batches, stash, text_bytes, with_text
@@ -33,6 +32,8 @@ PIECE = 1 << 20
 SMALL = 6
 #: Bits of the largest bitmap of ids, 16 MB.
 MOST_BITS = 1 << 27
+#: Parts that a key's rows are dealt to.
+SALTS = 64
 #: Elements whose permutations are held at once.
 HELD = 60_000
 
@@ -156,7 +157,7 @@ def bands(ranks: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for the empty set), bands."""
+    """doc_id, text_key (64 bits of the text), n_shingles, set_key (null for the empty set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,14 +167,20 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1))),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "bands"],
+                    ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
                 )
 
-    return small_batches(with_text(docs)).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    rows = with_text(docs).withColumn("text_key", text_key(F.col("text")))
+    return small_batches(rows).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
+
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def marks(ids: DataFrame) -> np.ndarray:
@@ -207,20 +214,22 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return small_batches(rows).mapInArrow(run, "id long, members binary")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` less the rows whose doc_id is among `ids` (id). Rows that the bitmap of ids clears are kept where they
-    are; only the others, about as many as `ids`, are shuffled for the exact anti-join."""
-    bitmap = marks(ids)
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """`docs` less the rows whose doc_id and text are among `gone` (id, text_key). Rows that the bitmap of ids clears are
+    kept where they are; only the others, about as many as `gone`, are shuffled for the exact anti-join."""
+    bitmap = marks(gone.select("id").distinct())
     sent, bits = docs.sparkSession.sparkContext.broadcast(bitmap), len(bitmap) * 8
 
-    def marked(at: pd.Series) -> pd.Series:
-        place = at.to_numpy()
-        return pd.Series((sent.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool))
+    def marked(at: pa.Array) -> pa.Array:
+        place = at.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[place >> 3] >> (7 - (place & 7)) & 1).astype(bool))
 
-    test = F.pandas_udf(marked, "boolean")(F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    rows = docs.withColumn("_marked", F.col("doc_id").isNotNull() & test)
-    doubtful = rows.filter("_marked").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    return rows.filter("not _marked").select(*docs.columns).union(doubtful.select(*docs.columns))
+    nested = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
+    doc_id, key = F.col("row.doc_id").cast("long"), text_key(F.col("row.text").cast("string"))
+    doubt = F.arrow_udf(marked, "boolean")(F.pmod(F.xxhash64(F.coalesce(doc_id, F.lit(0))), F.lit(bits))) & doc_id.isNotNull()
+    rows = nested.withColumn("doubt", doubt)
+    checked = rows.filter("doubt").join(gone, (doc_id == F.col("id")) & (key == F.col("text_key")), "left_anti")
+    return rows.filter("not doubt").union(checked).select("row.*")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -246,9 +255,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def with_least(rows: DataFrame, key: str, value: str, least: str, count: str | None = None) -> DataFrame:
+    """Adds the least `value` of each `key`, and the count of its rows. A key may hold a third of all rows, so these are
+    dealt to SALTS parts of it and meet, in each part, one row with the key's figures."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"), F.count("*").alias("_n"))
+    whole = part.groupBy(key).agg(F.min("_m").alias(least), F.sum("_n").alias(count or "_n"), F.collect_list("_salt").alias("_salts"))
+    dealt = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return salted.join(dealt, [key, "_salt"]).select(*rows.columns, least, *([count] if count else []))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and the smallest id reachable, of every id in `links` (a, b). Large-star and small-star steps (Kiveris
-    et al., 2014) in turn until nothing changes; each round is a stashed table."""
+    et al., 2014) in turn until nothing changes: union-find's joining and path halving for whole tables; each round is
+    a stashed table."""
     edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
     while True:
@@ -256,12 +276,12 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = mark
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stash(large.union(edges.join(least, "u").select("u", F.col("m").alias("v")).filter("u <> v")).distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(least.select("u", F.col("m").alias("v")))
+        both = with_least(edges.union(edges.select("v", "u")), "u", "v", "m")
+        m = F.least("u", "m")
+        large = both.filter("v > u").select(F.col("v").alias("u"), m.alias("v"))
+        large = large.union(both.filter("v < u").select("u", m.alias("v"))).filter("u <> v").distinct()
+        small = with_least(stash(large, "large"), "u", "v", "m")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v")))
         edges = stash(small.distinct(), "small")
 
 
@@ -271,12 +291,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets; component_id is the
     smallest doc_id reachable over links, kept whether it is the row's own. Null and blank texts have the empty set
     and stand alone; so do rows without doc_id, whose component_id is null and which are kept. Repeated rows share a
-    component and are all returned. An empty table gives no rows.
+    component and are all returned; rows of one doc_id with different texts count as one document, linked with all that
+    any of them is linked with, but for exact copies, which get their own set's component. An empty table gives no rows.
+    """
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """`docs` with one row of each component, that of the smallest doc_id, and all columns. Rows without doc_id stay.
+
+    Of rows of one doc_id with equal sets, that with the smallest text_key stays, once. Where a doc_id stands with
+    different sets, links by id can't tell its rows apart: of these only exact copies of smaller ids' sets go.
     """
+    found = grouped(docs, percent).filter("doc_id is not null").withColumn("set_key", F.coalesce("set_key", F.lit(b"")))
+    found = stash(found.select(F.col("doc_id").alias("id"), "text_key", "set_key", "class", "kept"), "kept")
+    again = found.groupBy("id").agg(F.count("*").alias("n"), (F.min("set_key") != F.max("set_key")).alias("several"))
+    again = stash(again.filter("n > 1").select("id", "several"), "again")
+    if again.isEmpty():
+        return without(docs, found.filter("not kept").select("id", "text_key"))
+    least = found.join(again, "id").groupBy("id", "set_key", "several").agg(F.min("text_key").alias("least"))
+    rows = found.join(least, ["id", "set_key"], "left")
+    gone = F.when(F.coalesce("several", F.lit(False)), F.col("class") < F.col("id")).otherwise(~F.col("kept")) | F.coalesce(F.col("text_key") > F.col("least"), F.lit(False))
+    nested = without(docs, rows.filter(gone).select("id", "text_key").distinct()).select(F.struct("*").alias("row"))
+    repeated = nested.filter("row.doc_id is not null").withColumns({"id": F.col("row.doc_id"), "key": text_key(F.col("row.text"))})
+    return repeated.dropDuplicates(["id", "key"]).select("row.*").union(nested.filter("row.doc_id is null").select("row.*"))
+
+
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of near_duplicates, with text_key, set_key and class, the smallest doc_id whose set is the same (null
+    without doc_id)."""
     known = stash(signatures(docs), "signatures")
-    full = known.filter("set_key is not null and doc_id is not null")
-    copies = full.groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("set_key", "first")
-    classes = stash(known.join(copies, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")).alias("class"), "bands"), "classes")
+    full = known.filter("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    later = with_least(full, "set_key", "doc_id", "first").filter("first < doc_id").distinct()
+    classes = stash(known.join(later, ["doc_id", "set_key"], "left").withColumn("class", F.coalesce("first", "doc_id")).drop("first"), "classes")
     alone = classes.filter("doc_id = class and n_shingles > 0")
     held = alone.select(F.explode("bands").alias("band"), F.col("doc_id").alias("a"))
     buckets = held.groupBy("band").agg(F.min("a").alias("b"), F.max("a").alias("last")).filter("b <> last").select("band", "b")
@@ -294,9 +341,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not more.isEmpty():
         found = stash(components(links.union(more)), "components")
 
-    named = classes.select("doc_id", "n_shingles", "class").join(found.withColumnRenamed("id", "class"), "class", "left")
-    out = named.select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    of = found.filter("id <> component").select(F.col("id").alias("class"), "component")
+    named = classes.drop("bands").join(of, "class", "left").withColumn("component_id", F.coalesce("component", "class")).drop("component")
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def few_pairs(members: DataFrame) -> DataFrame:

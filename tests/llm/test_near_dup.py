@@ -106,3 +106,27 @@ def test_few_elements_match_one_by_one():
         assert (nd.superminhash([s])[0] == row).all()
         # each element fills every slot once in its own order, so a set's ranks are the least of its elements'
         assert (np.min([nd.superminhash([s[i : i + 1]])[0] for i in range(len(s))], axis=0) == row).all()
+
+
+def test_one_row_of_each_component_stays_with_all_columns(spark):
+    """Columns with the names that the operator works with keep their values; rows of one doc_id are told apart by text."""
+    names = ["_marked", "doubt", "row", "id", "class", "text_key"]
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (3, None), (4, ""), (4, ""), (5, "x y"), (5, "X  y"), (None, a), (None, a), (7, long), (8, long + " end"), (9, long + " fin"), (9, long + " fin")]
+    df = spark.createDataFrame([(i, t, *["keep"] * len(names)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = nd.deduplicated(df).collect()
+    assert all(r[n] == "keep" for r in got for n in names)
+    left = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in got)
+    assert [x for x in left if x[0] != 5] == sorted([(1, a), (2, b), (3, ""), (4, ""), (-1, a), (-1, a), (7, long)])
+    assert len([x for x in left if x[0] == 5]) == 1
+    unique = {i: t for i, t in rows if i not in (None, 2, 4, 5, 9)}
+    kept = nd.deduplicated(spark.createDataFrame(list(unique.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {i for i, (_, c) in brute(unique.items()).items() if i == c}
+
+
+def test_a_hot_group_of_copies_and_a_hot_star(spark):
+    long = [f"w{i}" for i in range(80)]
+    rows = [(i, "same text in very many documents here") for i in range(0, 900, 3)] + [(i, " ".join([*long, f"end{i}"])) for i in range(1, 900, 3)] + [(i, f"alone {i} " * 6) for i in range(2, 900, 3)]
+    got = {r.doc_id: r.component_id for r in run(spark, rows)}
+    assert {got[i] for i in range(0, 900, 3)} == {0} and {got[i] for i in range(1, 900, 3)} == {1} and all(got[i] == i for i in range(2, 900, 3))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -67,6 +68,19 @@ def test_ids_are_the_librarys_and_decode_back(spark, texts):
     assert by[-1].ids == [] and by[None].n_tokens == len(library.encode("hello"))
 
 
+def test_blank_runs_are_the_librarys_and_take_linear_time():
+    rng, library, own = random.Random(3), sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Pieces(PIECES)
+    pool = [" "] * 6 + ["  ", "\n", "\t", "hello", " x", "é", "中", "🙂", "_", "=", "a", "the", "▁", "\u00a0"]
+    made = [" " * n + w for n in range(150) for w in ("", " hello", "\n", "🙃z", "--")]
+    made += ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(20_000)]
+    assert [t for t in made if own.encode(t) != library.encode(t)] == []
+    began = time.process_time()
+    for long in (" " * 1_000_000, " " * 1_000_000 + "x", "\n" * 1_000_000):
+        ids = own.encode(long)
+        assert own.decode(ids) == long
+    assert time.process_time() - began < 30
+
+
 def test_unigram_scores_give_the_librarys_path(texts):
     """The same pieces read as a unigram model: the pass maximises the sum of scores, as the library does."""
     with open(PIECES, "rb") as f:

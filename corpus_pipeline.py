@@ -24,11 +24,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group of near copies the document with the smallest id stays, and once if its row is
     repeated. Rows without doc_id stay."""
-    found = stash(near_dup.near_duplicates(docs).select("doc_id", "kept"), "kept")
-    left = near_dup.without(docs, found.filter("not kept").select(F.col("doc_id").alias("id")))
-    if found.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return left
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(left.filter("doc_id is null"))
+    return near_dup.deduplicated(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -266,23 +266,22 @@ def with_least(rows: DataFrame, key: str, value: str, least: str, count: str | N
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and the smallest id reachable, of every id in `links` (a, b). Large-star and small-star steps (Kiveris
-    et al., 2014) in turn until nothing changes: union-find's joining and path halving for whole tables; each round is
-    a stashed table."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    seen = None
+    """id and the smallest id reachable, of every id in `links` (a, b; a stashed table). Large-star and small-star steps
+    (Kiveris et al., 2014) in turn until nothing changes: union-find's joining and path halving for whole tables. Each
+    round is a stashed table."""
+    edges, seen = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), None
     while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = mark
         both = with_least(edges.union(edges.select("v", "u")), "u", "v", "m")
         m = F.least("u", "m")
         large = both.filter("v > u").select(F.col("v").alias("u"), m.alias("v"))
         large = large.union(both.filter("v < u").select("u", m.alias("v"))).filter("u <> v").distinct()
-        small = with_least(stash(large, "large"), "u", "v", "m")
+        small = with_least(large, "u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(small.select("u", F.col("m").alias("v")))
-        edges = stash(small.distinct(), "small")
+        edges = stash(small.distinct(), "edges")
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if mark == seen:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        seen = mark
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -331,15 +330,18 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     stars = stash(held.filter("a <> b").select("a", "b").distinct(), "stars")
     sets = stash(full_sets(docs, stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()), "sets")
     links = stash(verified(stars, sets, percent), "verified")
-    found = stash(components(links), "components")
+    found = components(links)
 
     placed = held.select("band", F.col("a").alias("id")).join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.min("id").alias("leader")).filter("x <> y and size > 2")
     unsettled = stash(placed.join(mixed.select("band", "size", "leader"), "band"), "open")
-    pairs = stash(few_pairs(unsettled.filter(F.col("size") <= SMALL)).union(prefix_pairs(unsettled.filter(F.col("size") > SMALL).select("id", "component").distinct(), sets, percent)).distinct(), "pairs")
+    pairs = few_pairs(unsettled.filter(F.col("size") <= SMALL))
+    many = unsettled.filter(F.col("size") > SMALL).select("id", "component").distinct()
+    if not many.isEmpty():
+        pairs = pairs.union(prefix_pairs(many, sets, percent)).distinct()
     more = stash(verified(pairs, sets, percent), "more")
     if not more.isEmpty():
-        found = stash(components(links.union(more)), "components")
+        found = components(stash(links.union(more), "links"))
 
     of = found.filter("id <> component").select(F.col("id").alias("class"), "component")
     named = classes.drop("bands").join(of, "class", "left").withColumn("component_id", F.coalesce("component", "class")).drop("component")

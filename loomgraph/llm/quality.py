@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, text_bytes, with_text
+from .common import slices, small_batches, stash, text_bytes, with_text
 from .near_dup import mix, word_hashes
 
 PASSAGE = 512
-#: Labelled documents used for fitting at most, the first in order of a hash of their ids; and of each of these at
-#: most so many passages, evenly spread. Scoring knows neither bound.
-SAMPLE, BAG = 4000, 48
+#: Labelled documents used for fitting at most, and their passages together: documents enter whole, with every passage,
+#: in order of a hash of their ids while both bounds hold; those with over a twentieth of PASSAGES aren't sampled.
+#: Scoring knows no bound.
+SAMPLE, PASSAGES = 4000, 80_000
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 STEPS, BATCH, SEED = 500, 256, 11
@@ -84,6 +85,7 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x[:, 1] = np.bincount(row[full], minlength=rows) / many / 10
     x[:, 2] = share(np.concatenate([[False], (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])]), place)
     x[:, 3] = 1 - np.bincount(_firsts(words ^ mix(place.astype(np.uint64)), place), minlength=rows) / many
+    x[n == 0, 3] = 0  # whatever else is in the batch
     for i, k in ((4, 1), (5, 3)):  # words, and runs of three, that stood earlier in the document
         runs = words[: len(words) - k + 1].copy()
         for j in range(1, k):
@@ -170,36 +172,36 @@ def is_held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Bags | None:
-    """A model from at most `sample` labelled documents that aren't held out; None without any label.
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = PASSAGES) -> Bags | None:
+    """A model from at most `sample` labelled documents that aren't held out and have at most `most` passages together;
+    None without any label.
 
     Labels other than 0 and 1 and those without doc_id are passed over; of several labels of a document the smallest
-    counts, and of several texts of one doc_id the first in byte order.
+    counts, and of several texts of one doc_id the first in byte order, so that repeated rows count once.
     """
     usable = labels.filter("quality in (0, 1) and doc_id is not null").filter(~is_held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     usable = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so few rows may be broadcast
+    found = with_text(docs).withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(usable), "doc_id")
+    found = stash(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "labelled")  # at most `sample` rows
+    count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    so_far = F.sum(count).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = found.filter(count <= most // 20).select("doc_id", so_far.alias("n")).filter(F.col("n") <= most).select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 x, first = passages(*text_bytes(part.column(1)))
-                bags = []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    rows = np.arange(a, b) if b - a <= BAG else np.linspace(a, b - 1, BAG).astype(np.int64)
-                    bags.append(x[rows].astype(np.float16).tobytes())
+                bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(bags, pa.binary())], ["doc_id", "label", "bag"])
 
-    found = with_text(docs).join(F.broadcast(usable), "doc_id").select("doc_id", "text", "label")
-    rows = small_batches(found).mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
-    best: dict[int, tuple[int, bytes]] = {}
-    for i, label, bag in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
-        best[i] = min(best.get(i, (label, bag)), (label, bag))
-    if not best:
+    rows = found.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = small_batches(rows).mapInArrow(run, "doc_id long, label int, bag binary").toArrow()
+    bags = sorted(zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True))
+    if not bags:
         return None
-    ordered = [best[i] for i in sorted(best)]
-    parts = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, b in ordered]
+    parts = [np.frombuffer(b, np.float16).reshape(-1, FEATURES).astype(np.float32) for _, _, b in bags]
     first = np.concatenate([[0], np.cumsum([len(a) for a in parts])])
-    return Bags(FEATURES).fit(np.concatenate(parts), first, np.array([a for a, _ in ordered], np.float32))
+    return Bags(FEATURES).fit(np.concatenate(parts), first, np.array([a for _, a, _ in bags], np.float32))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

@@ -115,3 +115,25 @@ def texts(column: pa.Array) -> list[str]:
 def with_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, stay out of the way."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Parts that a key's rows are dealt to.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, key: str, value: str, least: str, count: str | None = None) -> DataFrame:
+    """Adds the least `value` of each `key`, and the count of its rows. A key may hold a third of all rows, so these are
+    dealt to SALTS parts of it and meet, in each part, one row with the key's figures."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"), F.count("*").alias("_n"))
+    whole = part.groupBy(key).agg(F.min("_m").alias(least), F.sum("_n").alias(count or "_n"), F.collect_list("_salt").alias("_salts"))
+    dealt = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
+    return salted.join(dealt, [key, "_salt"]).select(*rows.columns, least, *([count] if count else []))
+
+
+def with_one(rows: DataFrame, table: DataFrame, key: str, spread: str) -> DataFrame:
+    """`rows` joined, left outer, to a table of one row a key. A key, or null, may hold a third of all rows, so these are
+    dealt to SALTS parts by `spread`, and the key's row goes to those parts that have any."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    dealt = salted.select(key, "_salt").filter(F.col(key).isNotNull()).distinct().join(table, key)
+    return salted.join(dealt, [key, "_salt"], "left").drop("_salt")

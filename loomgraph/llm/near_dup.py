@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stash, text_bytes, with_text
+from .common import slices, small_batches, stash, text_bytes, with_least, with_one, with_text
 
 BANDS, ROWS = 25, 5
 #: Bytes of text hashed at once.
@@ -32,8 +32,6 @@ PIECE = 1 << 20
 SMALL = 6
 #: Bits of the largest bitmap of ids, 16 MB.
 MOST_BITS = 1 << 27
-#: Parts that a key's rows are dealt to.
-SALTS = 64
 #: Elements whose permutations are held at once.
 HELD = 60_000
 
@@ -255,16 +253,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def with_least(rows: DataFrame, key: str, value: str, least: str, count: str | None = None) -> DataFrame:
-    """Adds the least `value` of each `key`, and the count of its rows. A key may hold a third of all rows, so these are
-    dealt to SALTS parts of it and meet, in each part, one row with the key's figures."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
-    part = salted.groupBy(key, "_salt").agg(F.min(value).alias("_m"), F.count("*").alias("_n"))
-    whole = part.groupBy(key).agg(F.min("_m").alias(least), F.sum("_n").alias(count or "_n"), F.collect_list("_salt").alias("_salts"))
-    dealt = whole.withColumn("_salt", F.explode("_salts")).drop("_salts")
-    return salted.join(dealt, [key, "_salt"]).select(*rows.columns, least, *([count] if count else []))
-
-
 def components(links: DataFrame) -> DataFrame:
     """id and the smallest id reachable, of every id in `links` (a, b; a stashed table). Large-star and small-star steps
     (Kiveris et al., 2014) in turn until nothing changes: union-find's joining and path halving for whole tables. Each
@@ -344,7 +332,7 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
         found = components(stash(links.union(more), "links"))
 
     of = found.filter("id <> component").select(F.col("id").alias("class"), "component")
-    named = classes.drop("bands").join(of, "class", "left").withColumn("component_id", F.coalesce("component", "class")).drop("component")
+    named = with_one(classes.drop("bands"), of, "class", "doc_id").withColumn("component_id", F.coalesce("component", "class")).drop("component")
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -19,11 +19,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, stash
+from .common import new_path, small_batches, stash, with_least, with_one
 
 VERSION = "WARC/1.1"
 #: Bytes of a block; read beyond it for a header, and more if that runs on; and of a payload that are held at once.
 BLOCK, HEADER, HELD = 8 << 20, 1 << 16, 4 << 20
+#: Blocks of a task at most, but for a table so small that cores would lie idle.
+TOGETHER = 8
 #: Payloads of fewer bytes are never replaced by a revisit.
 SMALLEST = 0
 END = "\r\n\r\n"
@@ -37,29 +39,37 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def sha1_base32(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the digest to (page_id, url, html); null html is empty."""
+    """Adds the digest of the last column, html, to a batch; null html is empty."""
     for batch in batches:
-        rows = [(x.as_buffer() if x.is_valid else b"") for x in batch.column(2)]
+        rows = [(x.as_buffer() if x.is_valid else b"") for x in batch.column(batch.num_columns - 1)]
         digest = [base64.b32encode(hashlib.sha1(r).digest()).decode() for r in rows]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.string())], ["page_id", "url", "html", "digest"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digest, pa.string())], [*batch.schema.names, "digest"])
 
 
-def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST) -> None:
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, size and digest, without html."""
+    for batch in sha1_base32(batches):
+        yield batch.select(["page_id", "size", "digest"])
+
+
+def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST) -> int:
     """A record for each row of pages (page_id, url, html): of equal payloads of at least `smallest` bytes that with
-    the least page_id is a response, the others revisit it without repeating it.
+    the least page_id is a response, the others revisit it without repeating it. Returns the count of records.
 
     Rows without page_id have no place among the others: their records are responses with an empty id. Repeated rows of
-    one page_id are all responses if theirs is the least. The text sink joins records by the two line ends that close
-    each, so that files are plain WARC and a task that is lost is written anew by the sink's own commit protocol.
+    one page_id are all responses if theirs is the least. Which page is first is settled on ids and digests alone; html
+    only meets it by page_id. The text sink joins records by the two line ends that close each, so that files are plain
+    WARC and a task that is lost is written anew by the sink's own commit protocol.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = small_batches(rows).mapInArrow(sha1_base32, "page_id long, url string, html string, digest string").withColumn("html", F.coalesce("html", F.lit("")))
+    ids = small_batches(rows).select("page_id", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"), "html")
+    ids = stash(ids.mapInArrow(digested, "page_id long, size int, digest string"), "digests")
+    first = with_least(ids.filter((F.col("size") >= smallest) & F.col("page_id").isNotNull()).select("digest", "page_id"), "digest", "page_id", "first")
+    first = stash(first.filter("first < page_id").distinct(), "firsts")
+    rows = rows.mapInArrow(sha1_base32, "page_id long, url string, html string, digest string").withColumn("html", F.coalesce("html", F.lit("")))
     size = F.octet_length("html")
-    first = rows.filter((size >= smallest) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    first = stash(first.filter("first <> last").select("digest", "first"), "firsts")
-    rows = rows.join(first, "digest", "left").withColumn("size", size)
-    revisit = (F.col("size") >= smallest) & (F.col("page_id") > F.col("first"))
-    revisit = F.coalesce(revisit, F.lit(False))
+    rows = rows.join(first, ["page_id", "digest"], "left").withColumn("size", size)
+    revisit = F.col("first").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     http = lambda n: F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), n.cast("string"), F.lit(END))
     block = F.concat(http(F.col("size")), F.when(revisit, F.lit("")).otherwise(F.col("html")))
@@ -71,16 +81,19 @@ def write_archives(pages: DataFrame, path: str, smallest: int = SMALLEST) -> Non
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
     )
     rows.select(lines.alias("value")).write.option("lineSep", END).text(path)
+    return ids.count()
 
 
 # -- reading
 
 
 def blocks(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
-    """path, size, start of every block of the archives; only their names and lengths are read here."""
+    """path, size, start of every block of the archives, TOGETHER in a task; only the files' names and lengths are read
+    here."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size")).filter("size > 0")
+    n = files.agg(F.coalesce(F.sum(F.ceil(F.col("size") / block)), F.lit(0))).first()[0]
     cut = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("start"))
-    return cut.repartition(max(1, spark.sparkContext.defaultParallelism * 2), "path", "start")
+    return cut.repartition(max(1, spark.sparkContext.defaultParallelism * 2, n // TOGETHER), "path", "start")
 
 
 def opened(path: str) -> pa.NativeFile:
@@ -182,7 +195,7 @@ def read_archives(spark: SparkSession, path: str, block: int = BLOCK) -> DataFra
     rows = stash(todo.mapInArrow(run, schema), "records")
     whole = rows.filter("record_type = 'response' and page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("n"), F.col("payload_digest").alias("d"))
     whole = whole.join(rows.select("refers_to").filter("refers_to is not null").distinct(), "refers_to", "left_semi").dropDuplicates(["refers_to"])
-    rows = rows.join(whole, "refers_to", "left")
+    rows = with_one(rows, whole, "refers_to", "page_id")
     revisit = F.col("record_type") == "revisit"
     return rows.select("path", "at", "record_type", "page_id", "refers_to", "digest", F.when(revisit, F.col("n")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("d")).otherwise(F.col("payload_digest")).alias("payload_digest"))
 
@@ -225,5 +238,8 @@ def archived(pages: DataFrame) -> DataFrame:
     shared folder and read back. An empty table gives no rows."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    write_archives(pages, path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    written = write_archives(pages, path)
+    rows = read_archives(spark, path)
+    if (read := rows.count()) != written:
+        raise ValueError(f"{read} records read of {written} written")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -55,3 +55,10 @@ def test_headers_of_any_length_are_read_and_broken_chains_fail(spark):
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\r\n").text(broken)
     with pytest.raises(Exception, match="no record at"):
         warc.read_archives(spark, broken, 5000).collect()
+
+
+def test_a_url_of_a_megabyte_across_a_block_and_very_many_equal_pages(spark):
+    rows = [(1, "a", "x" * ((8 << 20) - 900)), (2, "u" * (1 << 20), "two"), (3, "b", "three"), *[(i, "c", "same" if i % 2 else None) for i in range(4, 3004)]]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert len(got) == len(rows)
+    assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected(rows)

@@ -6,12 +6,14 @@ into shots where the difference rises over a running mean and deviation; each sh
 Frames are lossless JPEG (ITU-T T.81 process 14, SOF3): 8-bit samples, each predicted from its left neighbour (at a
 line's start from the one above), the difference coded as a Huffman category with its extra bits. The encoder here
 gives category s the code length 9 - s, so that code and extra bits always come to nine bits together and whole
-batches are coded and decoded by array operations; the decoder reads any other table symbol by symbol.
+batches are coded and decoded by array operations; the decoder reads any other table symbol by symbol. Frames of others
+may be baseline DCT (SOF0, 8 bits, any sampling, restart intervals); of these the first component, the luminance, is read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +34,8 @@ BINS = 16
 #: A cut: the difference is over MEAN + FACTOR * deviation of the last RECENT ones, and over FLOOR.
 RECENT, FACTOR, FLOOR = 12, 3.0, 0.12
 PIECE = 1 << 20
+#: What reading a broken film may end in.
+BROKEN = (ValueError, IndexError, KeyError, OverflowError, StopIteration, ZeroDivisionError, struct.error)
 
 
 # -- lossless JPEG
@@ -78,52 +82,123 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
 
 
 def _segments(jpeg: bytes) -> tuple[dict, bytes]:
-    """Frame and scan parameters, and the scan's bytes without stuffing."""
+    """Frame and scan parameters, and the scan's bytes as they stand."""
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
-    at, found = 2, {}
+    at, found = 2, {"tables": {}, "quant": {}, "restart": 0}
     while True:
         marker, size = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
         body = jpeg[at + 4 : at + 2 + size]
         at += 2 + size
-        if marker == 0xC3:
-            found["bits"], found["height"], found["width"], found["parts"] = struct.unpack_from(">BHHB", body)
+        if marker in (0xC0, 0xC3):
+            found["process"] = marker
+            found["bits"], found["height"], found["width"], n = struct.unpack_from(">BHHB", body)
+            found["parts"] = [(body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * n, 3)]
         elif marker == 0xC4:
-            found["table"] = body[1:]
+            while body:
+                end = 17 + sum(body[1:17])
+                found["tables"][body[0]], body = body[1:end], body[end:]
+        elif marker == 0xDB:
+            while body:
+                wide = body[0] >> 4
+                found["quant"][body[0] & 15], body = np.frombuffer(body, ">u2" if wide else "u1", 64, 1).astype(np.int64), body[1 + (128 if wide else 64) :]
+        elif marker == 0xDD:
+            found["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
+            found["scan"] = [(body[i], body[i + 1] >> 4, body[i + 1] & 15) for i in range(1, 1 + 2 * body[0], 2)]
             found["predictor"], found["shift"] = body[-3], body[-1] & 15
-            end = jpeg.rindex(b"\xff\xd9")
-            return found, jpeg[at:end].replace(b"\xff\x00", b"\xff")
-        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise ValueError(f"JPEG process {marker:x} is not lossless sequential")
+            return found, jpeg[at : jpeg.rindex(b"\xff\xd9")]
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC8, 0xCC):
+            raise ValueError(f"JPEG process {marker:x} is neither lossless nor baseline sequential")
 
 
-def _differences(scan: bytes, table: bytes, n: int) -> np.ndarray:
-    """Differences of n samples under any Huffman table, bit by bit."""
-    lookup, code, at = {}, 0, 16
+class _Bits:
+    """Reads codes and extra bits of one stretch of a scan."""
+
+    def __init__(self, scan: bytes):
+        self.bits, self.pos = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), np.uint8)).tolist(), 0
+
+    def code(self, table: dict[tuple[int, int], int]) -> int:
+        code = length = 0
+        while (length, code) not in table:
+            code, length, self.pos = code << 1 | self.bits[self.pos], length + 1, self.pos + 1
+        return table[length, code]
+
+    def extra(self, s: int) -> int:
+        value = 0
+        for b in self.bits[self.pos : self.pos + s]:
+            value = value << 1 | b
+        self.pos += s
+        return value if not s or value >> (s - 1) else value - (1 << s) + 1
+
+
+def _codewords(table: bytes) -> dict[tuple[int, int], int]:
+    """Symbols by (length, code)."""
+    found, code, at = {}, 0, 16
     for length in range(1, 17):
         for _ in range(table[length - 1]):
-            lookup[length, code] = table[at]
+            found[length, code] = table[at]
             code, at = code + 1, at + 1
         code <<= 1
-    bits = np.unpackbits(np.frombuffer(scan, np.uint8)).tolist()
-    out, pos = [], 0
-    while len(out) < n:
-        code = length = 0
-        while (length, code) not in lookup:
-            code, length, pos = code << 1 | bits[pos], length + 1, pos + 1
-        s, extra = lookup[length, code], 0
-        for _ in range(s):
-            extra, pos = extra << 1 | bits[pos], pos + 1
-        out.append(extra if not s or extra >> (s - 1) else extra - (1 << s) + 1)
-    return np.array(out, np.int64)
+    return found
+
+
+def _differences(scan: bytes, table: bytes, n: int) -> np.ndarray:
+    """Differences of n samples under any Huffman table, symbol by symbol."""
+    bits, words = _Bits(scan), _codewords(table)
+    return np.array([bits.extra(bits.code(words)) for _ in range(n)], np.int64)
+
+
+_ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
+_COSINE = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 0.125**0.5) for u in range(8)] for x in range(8)])
+
+
+def _luminance(found: dict, scan: bytes) -> np.ndarray:
+    """The first component's samples of a baseline DCT frame, at full height and width."""
+    parts = {i: (h, v, q) for i, h, v, q in found["parts"]}
+    wide, high = (max(p[k] for p in parts.values()) for k in (0, 1))
+    height, width, first = found["height"], found["width"], found["parts"][0][0]
+    h, v, q = parts[first]
+    if len(found["scan"]) != len(parts):
+        raise ValueError("only frames of one scan are read")
+    if len(parts) == 1:  # blocks then stand line by line, whatever the sampling
+        wide = high = h = v = 1
+        parts = {first: (1, 1, q)}
+    across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    tables = {i: (_codewords(found["tables"][dc]), _codewords(found["tables"][16 | ac])) for i, dc, ac in found["scan"]}
+    blocks = np.zeros((down * v, across * h, 64), np.int64)
+    stretches = iter(re.split(rb"\xff[\xd0-\xd7]", scan))
+    bits, last = _Bits(next(stretches)), dict.fromkeys(parts, 0)
+    for n in range(across * down):
+        if found["restart"] and n and n % found["restart"] == 0:
+            bits, last = _Bits(next(stretches)), dict.fromkeys(parts, 0)
+        for i, (own_h, own_v, _) in ((i, parts[i]) for i, _, _ in found["scan"]):
+            dc, ac = tables[i]
+            for k in range(own_h * own_v):
+                row = [0] * 64
+                last[i] += bits.extra(bits.code(dc))
+                row[0], at = last[i], 1
+                while at < 64:
+                    symbol = bits.code(ac)
+                    if not symbol:
+                        break
+                    at += symbol >> 4
+                    row[_ZIGZAG[at]] = bits.extra(symbol & 15)
+                    at += 1
+                if i == first:
+                    blocks[n // across * v + k // h, n % across * h + k % h] = row
+    scale = np.empty(64, np.int64)
+    scale[_ZIGZAG] = found["quant"][q]
+    flat = np.einsum("xu,abuv,yv->axby", _COSINE, (blocks * scale).reshape(*blocks.shape[:2], 8, 8).astype(float), _COSINE)
+    samples = np.clip(np.rint(flat + 128), 0, 255).astype(np.uint8).reshape(blocks.shape[0] * 8, -1)
+    return samples.repeat(high // v, 0).repeat(wide // h, 1)[:height, :width]
 
 
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """Samples (n, height, width) of lossless grey JPEG files of one size."""
+    """Samples (n, height, width) of grey lossless or baseline JPEG files of one size."""
     if not jpegs:
         return np.zeros((0, HEIGHT, WIDTH), np.uint8)
-    own, plain, rest = _header(), [], {}
+    own, plain, rest, whole = _header(), [], {}, {}
     height, width = HEIGHT, WIDTH
     for i, jpeg in enumerate(jpegs):
         if jpeg.startswith(own):
@@ -131,22 +206,30 @@ def decode_frames(jpegs: list[bytes]) -> np.ndarray:
             continue
         found, scan = _segments(jpeg)
         height, width = found["height"], found["width"]
-        if found["parts"] != 1 or found["bits"] != 8 or found["shift"] or found["predictor"] != 1:
-            raise ValueError("only grey frames of 8 bits with predictor 1 are read")
-        rest[i] = _differences(scan, found["table"], height * width)
-    d = np.empty((len(jpegs), height * width), np.int64)
+        if found["bits"] != 8:
+            raise ValueError("only samples of 8 bits are read")
+        if found["process"] == 0xC0:
+            whole[i] = _luminance(found, scan)
+            continue
+        if len(found["parts"]) != 1 or found["shift"] or found["predictor"] != 1 or found["restart"]:
+            raise ValueError("of lossless frames only grey ones with predictor 1 are read")
+        rest[i] = _differences(scan, found["tables"][found["scan"][0][1]], height * width)
+    d = np.zeros((len(jpegs), height * width), np.int64)
     if plain:
         b = np.frombuffer(b"".join(plain), np.uint8).reshape(len(plain), -1, 9).astype(np.uint16)
         codes = np.empty((*b.shape[:2], 8), np.uint16)
         for i in range(8):
             codes[:, :, i] = (b[:, :, i] << (i + 1) | b[:, :, i + 1] >> (7 - i)) & 511
-        d[[i for i in range(len(jpegs)) if i not in rest]] = _codes()[1][codes].reshape(len(plain), -1)
+        d[[i for i in range(len(jpegs)) if i not in rest and i not in whole]] = _codes()[1][codes].reshape(len(plain), -1)
     for i, row in rest.items():
         d[i] = row
     d = d.reshape(-1, height, width)
     d[:, 0, 0] += 128
     d[:, :, 0] = np.cumsum(d[:, :, 0], 1)
-    return (np.cumsum(d, 2) & 255).astype(np.uint8)
+    out = (np.cumsum(d, 2) & 255).astype(np.uint8)
+    for i, samples in whole.items():
+        out[i] = samples
+    return out
 
 
 # -- RIFF
@@ -267,15 +350,14 @@ def films(docs: DataFrame) -> DataFrame:
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """doc_id, clip, start_s, end_s, frames, mean: a row for each shot of each film (doc_id, media). A null or empty
-    film has none."""
-    found = digests(media.filter("media is not null and length(media) > 0"))
-    return found.selectExpr("doc_id", "inline(clips)")
+    """doc_id, clip, start_s, end_s, frames, mean: a row for each shot of each film (doc_id, media). A film that is null
+    or can't be read has none."""
+    return digests(media).selectExpr("doc_id", "inline(clips)")
 
 
 def digests(media: DataFrame) -> DataFrame:
     """For each film (doc_id, media), read back: n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (its shots as text) and clips."""
+    media_sha256, feature (its shots as text) and clips. What can't be told of a null or broken film is null."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "clips"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("frames", pa.int32()), ("mean", pa.float64())]))]
 
@@ -284,7 +366,11 @@ def digests(media: DataFrame) -> DataFrame:
             for part in slices(batch, "media", PIECE):
                 rows = []
                 for key, film in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    clips, payload, n = clips_of(film)
+                    try:
+                        clips, payload, n = clips_of(film or b"")
+                    except BROKEN:
+                        rows.append((key, *[None] * 4, *((len(film), hashlib.sha256(film).hexdigest()) if film is not None else (None, None)), None, None))
+                        continue
                     feature = ";".join(f"{c['start_s']:g}-{c['end_s']:g}:{c['mean']:g}" for c in clips)
                     rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(film), hashlib.sha256(film).hexdigest(), feature, clips))
                 columns = zip(*rows, strict=True) if rows else [[]] * len(names)

@@ -68,10 +68,12 @@ def formatted(messages: DataFrame, learn: str = "assistant") -> DataFrame:
 
     Turns go by number, null first, equal ones by role and content. mask has for each turn the code points before the
     learnt text, in it and after it; only the role `learn` has any. A conversation is one row, and so has to fit in one;
-    a null conv_id is a conversation of its own; an empty table gives no rows.
+    a message without conv_id is a conversation of its own, so that such messages never gather in one task; an empty
+    table gives no rows.
     """
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "content", "attachments")))
-    rows = flattened(messages).groupBy("conv_id").agg(turns.alias("turns"))
+    turn, messages = F.struct("turn", "role", "content", "attachments"), flattened(messages)
+    rows = messages.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = rows.union(messages.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     head = lambda t: F.concat(F.lit(START), escaped_role(t["role"]), F.lit("\n"))
     body = F.array_join(F.transform("turns", lambda t: F.concat(head(t), t["content"], F.lit(END))), "")
     n = lambda c: F.char_length(c)

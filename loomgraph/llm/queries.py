@@ -64,15 +64,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _CHAT = r"""
 with rows as (
-  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
-  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, case when conv_id is null then row_number() over () end own from conversations
+  union all values (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok', null), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', null)
 )
 select conv_id, count(*)::bigint n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) loss_sha256,
   sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::bigint formatted_chars
-from rows group by conv_id
+from rows group by conv_id, own
 """
 
 _MIX = r"""

@@ -19,6 +19,14 @@ def test_turns_and_mask_are_read_back(spark):
         assert (got[key].loss_sha256, got[key].loss_chars) == (sha(learnt), len(learnt))
 
 
+def test_messages_without_conversation_stand_alone_and_texts_may_be_long(spark):
+    long = "<| \\n " * 300_000
+    df = spark.createDataFrame([(None, 0, "user", "a", "x"), (None, 0, "user", "a", "x"), (None, 1, "assistant", None, "x"), (5, 0, "assistant", long, "x")], SCHEMA + ", turns string")
+    got = chat.digests(df.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts"), "turns")).collect()
+    assert sorted((str(r.conv_id), r.n_turns, r.loss_chars) for r in got) == [("5", 1, len(long)), ("None", 1, 0), ("None", 1, 0), ("None", 1, 0)]
+    assert {r.loss_sha256 for r in got if r.conv_id == 5} == {hashlib.sha256(long.encode()).hexdigest()}
+
+
 def test_parts_become_placeholders_and_attachments(spark):
     parts = [("text", "see <|image|> ", None, None, None, None, None), ("image", None, "i.png", 56, 29, None, None), None, ("audio", None, "a.wav", None, None, 1.5, None), ("document", None, "d.pdf", None, None, None, 2), ("image", None, None, None, None, None, None), ("other", "tail", None, None, None, None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", []), (2, 0, "user", None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from loomgraph.llm import syncmers
 from pyspark.sql import functions as F
 
@@ -79,3 +81,30 @@ def test_long_texts_keep_all_anchors_and_places(spark):
     first = {h: i for i, h in reversed(a)}
     assert [tuple(v) for v in r.m] == sorted((i, place[h] - i) for h, i in first.items() if h in place)
     assert sum(v.shift == -800 for v in r.m) > 100
+
+
+def brute(text, k=5, s=2):
+    """Closed syncmers by their definition."""
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest((v % 2**64).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    words = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+    out = []
+    for i in range(len(words) - k + 1):
+        mers = [chained(words[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(mers) in (mers[0], mers[-1]):
+            out.append((i, chained(mers[j] for j in sorted({*range(0, k - s, s), k - s}))))
+    return out
+
+
+def test_anchors_by_brute_force(spark):
+    texts = [prose(i, n) for i, n in enumerate([5, 6, 7, 40, 400])] + ["x " * 50, "é✓中 " * 9 + "a" * 100, "\t a\nb c  d e f\x0b g", prose(9, 30_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+    got = {r.doc_id: r.x for r in syncmers.with_anchors(rows, "t", "x").collect()}
+    for i, t in enumerate(texts):
+        assert [(a.at, a.hash) for a in got[i]] == brute(t), t[:40]

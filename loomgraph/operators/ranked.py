@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,17 @@ def restricted(ranked: DataFrame, pool: DataFrame) -> DataFrame:
     """The list within a labelled pool (qid, id), ranks closed up."""
     kept = ranked.join(pool.select("qid", "id").distinct(), ["qid", "id"], "left_semi")
     return kept.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("rk")))
+
+
+def picked(rows: DataFrame, done: DataFrame | None, key: str, state: dict[str, Column], order: Column, write: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`done` and one more row (with its `turn`) of each key: the least by `order`, where that isn't null, of those not
+    yet done. `state` are aggregates of the key's done rows that `order` may use (null before the first). Choosing in turn like this needs no
+    group in one task: a round is a partial aggregate, and what is done is small, so Spark broadcasts it by its size."""
+    turn, left = 1, rows
+    if done is None:
+        left = left.withColumns({n: F.lit(None) for n in state})
+    else:
+        turn = (done.agg(F.max("turn")).first()[0] or 0) + 1
+        left = left.join(done.select(key, "id"), [key, "id"], "left_anti").join(done.groupBy(key).agg(*[c.alias(n) for n, c in state.items()]), key, "left")
+    best = left.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("b")).filter("b is not null").select("b.*").withColumn("turn", F.lit(turn))
+    return write(best if done is None else done.unionByName(best))

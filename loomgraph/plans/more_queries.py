@@ -33,7 +33,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = paths.join(seeds, "b").join(dated, "m")
     whole = bridges.completeness(F.col("is_event"), F.col("r_name"), F.col("r2_name"), F.lit(True), F.col("happened_at").isNotNull())
     value = scores.relevance(F.col("dist"), F.lit(0.0), whole, scores.recency(F.col("happened_at"), F.lit("2024-06-30").cast("timestamp")), F.lit(0.0))
-    return rows.select("qid", "n", "r", "m", "r2", "b", "dist", F.round(value, 6).alias("relevance"))
+    return rows.select("qid", "n", "r", "m", "r2", "b", "dist", F.round(value, 6).alias("relevance"), "r2_name")
 
 
 @query(_FACTS + " select qid, r, r2, m, relevance, row_number() over (partition by qid order by relevance desc, dist, m, r, r2)::int rk from v qualify rk <= 20")
@@ -46,7 +46,7 @@ def fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts chosen so that hubs and users vary."""
-    rows = facts(spark, sf_dir).select("qid", F.concat_ws("|", "r", "r2").alias("id"), F.col("relevance").alias("score"), F.col("m").alias("hub"), F.array("n").alias("sessions"))
+    rows = facts(spark, sf_dir).select("qid", F.concat_ws("|", "r", "r2").alias("id"), F.col("relevance").alias("score"), F.col("m").alias("hub"), F.array("n").alias("sessions"), bridges.leg_kind(F.col("r2_name")).alias("kind"))
     return bridges.diversified(rows, 8)
 
 

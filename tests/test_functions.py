@@ -85,8 +85,12 @@ def test_math(spark):
     assert one(spark, scores.mcnemar(F.lit(0), F.lit(0))) == 1.0
     assert one(spark, scores.okapi_idf(F.lit(10.0), F.lit(2.0))) == pytest.approx(math.log(1 + 8.5 / 2.5))
     assert one(spark, scores.vector_key(F.lit("x"))) == int(__import__("hashlib").sha256(b"x").hexdigest()[:16], 16) % 2**63
-    assert one(spark, channels.wants_history(F.lit("what did she use before"))) and not one(spark, channels.wants_history(F.lit("where does she live now")))
-    assert one(spark, channels.same_polarity(F.lit(None).cast("string"), F.lit("neutral"), "same")) and not one(spark, channels.same_polarity(F.lit("positive"), F.lit("neutral"), "opposite"))
+    past = ["how many days between X and Y", "In which order did it happen", "What is it now, and have I said otherwise", "before the update", "walk me through it"]
+    now = ["where does she live now", "the formerly used one", "what did she use before", "currently latest", "", "chronology"]
+    assert [one(spark, channels.wants_history(F.lit(t))) for t in past + now] == [True] * len(past) + [False] * len(now)
+    polar = lambda a, b, mode: one(spark, channels.same_polarity(F.lit(a).cast("string"), F.lit(b).cast("string"), mode))
+    assert polar(None, "neutral", "same") and polar("odd", "neutral", "same") and polar(" Positive ", "positive", "same") and not polar("odd", "negative", "same")
+    assert polar("positive", " NEGATIVE", "opposite") and not polar("positive", "neutral", "opposite") and not polar("odd", None, "opposite") and not polar("negative", "negative", "opposite")
     assert one(spark, ingest.bag_embedding(F.lit("abcdefghi"))) == [(97 + 105) / 9] + [c / 9 for c in range(98, 105)]
 
 

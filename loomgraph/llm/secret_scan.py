@@ -3,9 +3,10 @@
 Three rules (assignments, access keys, long hex runs) always report. Besides them every run of 16 or more token
 characters outside their findings that isn't plain letters of one case is a candidate, which the network accepts or
 drops. The tables hold no labelled secrets, so the labelled findings are made from a seed: keys of many shapes and their
-look-alikes (long words, paths, URLs, versions, dates, identifiers) in neutral and telling contexts. Of these a part is
-held out to calibrate the network's output (Platt) and to set each kind's threshold: the highest that keeps RECALL of
-the kind's true ones, those that are no candidates counted as lost.
+look-alikes (long words, paths, URLs, versions, dates, identifiers) in neutral and telling contexts. Of these an eighth is
+held out to calibrate the network's output (Platt), and another eighth to set the threshold of its spans: the highest
+that keeps RECALL of the true ones that no rule reports, those that are no candidates counted as lost. The rules' own
+findings carry a score but need no threshold.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import in_arrow, texts, with_text
 
 KINDS = ("assign", "access", "hex", "cnn")
-#: Share of held-out true findings that each threshold must keep.
+#: Share of held-out true findings that the threshold must keep.
 RECALL = 0.98
 #: Findings made for training and calibration.
 LABELLED = 6000
@@ -103,7 +104,7 @@ class Network:
         self.p = {"e": draw(CODES, EMBED, s=0.3), "w": draw(WIDTH * (EMBED + 1), FILTERS, s=0.15), "b": np.zeros(FILTERS, np.float32), "o": draw(3 * FILTERS, s=0.1), "c": np.zeros(1, np.float32)}
         self.p["e"][0] = 0
         self.scale, self.shift = 1.0, 0.0
-        self.threshold = dict.fromkeys(KINDS, 0.5)
+        self.threshold = 0.5
 
     def _forward(self, codes: np.ndarray, inside: np.ndarray):
         x = np.concatenate([self.p["e"][codes], inside[:, :, None]], 2)
@@ -221,14 +222,15 @@ def candidate_scores(rows: list[tuple[str, int, int, int, str]], net: Network) -
 
 @lru_cache(1)
 def trained(seed: int = SEED, epochs: int = 10) -> Network:
-    """The network, its calibration and thresholds; the same at every call with the same seed."""
+    """The network, its calibration and threshold; the same at every call with the same seed."""
     rng = np.random.default_rng(seed)
     rows = labelled(rng)
     got = [windows(t, [(a, b)]) for t, a, b, _, _ in rows]
     codes, inside = np.concatenate([c for c, _ in got]), np.concatenate([i for _, i in got])
     y, kinds = np.array([r[3] for r in rows], np.float32), np.array([r[4] for r in rows])
-    held = rng.random(len(y)) < 0.25
-    net, order = Network(rng), np.flatnonzero(~held)
+    part = rng.random(len(y))
+    held, last = part < 0.125, (part >= 0.125) & (part < 0.25)
+    net, order = Network(rng), np.flatnonzero(part >= 0.25)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -244,12 +246,9 @@ def trained(seed: int = SEED, epochs: int = 10) -> Network:
     for _ in range(300):  # Platt scaling by gradient steps
         d = 1 / (1 + np.exp(-(net.scale * out + net.shift))) - truth
         net.scale, net.shift = net.scale - 0.05 * float((d * out).mean()), net.shift - 0.05 * float(d.mean())
-    true = [rows[i] for i in np.flatnonzero(held) if y[i]]
-    found = candidate_scores(true, net)
-    for kind in KINDS:
-        own = np.sort([p for r, p in zip(true, found, strict=True) if r[4] == kind and p is not None])
-        if len(own):
-            net.threshold[kind] = float(max(0.02, own[int((1 - RECALL) * len(own))] - 1e-6))
+    true = [rows[i] for i in np.flatnonzero(last & (kinds != "assign")) if y[i]]
+    own = np.sort([p for p in candidate_scores(true, net) if p is not None])
+    net.threshold = float(max(0.02, own[int((1 - RECALL) * len(own))] - 1e-6))
     return net
 
 
@@ -264,7 +263,7 @@ def found_in(rows: list[str], net: Network) -> list[list[tuple[int, int, int, in
         own = score[at : at + len(b) + len(r)]
         at += len(own)
         kept = [(*s, p) for s, p in zip(b, own, strict=False)]
-        kept += [(x, 3, y, x, y, p) for (x, y), p in zip(r, own[len(b) :], strict=True) if p >= net.threshold["cnn"]]
+        kept += [(x, 3, y, x, y, p) for (x, y), p in zip(r, own[len(b) :], strict=True) if p >= net.threshold]
         out.append(sorted(kept))
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import okapi_idf, okapi_term
@@ -11,6 +11,8 @@ from .ranked import top
 
 #: Query terms (rows) up to which they are broadcast to the postings; more are joined by shuffle.
 MOST_TERMS = 500_000
+#: Needles up to which each text is searched for all of them.
+MOST_NEEDLES = 300
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -22,14 +24,42 @@ def postings(docs: DataFrame) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))
 
 
+class Index:
+    """Postings and collection figures of docs (id, text), tokenised once and stored; postings lie by the first bits of
+    their terms' hashes, so that a search reads the folders of its own terms alone."""
+
+    PARTS = 64
+
+    def __init__(self, docs: DataFrame, path: str):
+        spark = docs.sparkSession
+        listed = docs.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size(F.array_distinct("w")).alias("dl"), F.size("w").alias("tokens"))
+        listed.select("id", "w", "dl", "tokens").write.parquet(f"{path}/words")
+        listed = spark.read.parquet(f"{path}/words")
+        terms = listed.select("id", "dl", "tokens", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))
+        terms.withColumn("part", self.part(F.col("term"))).repartition("part").write.partitionBy("part").parquet(f"{path}/postings")
+        most = lambda c: F.avg(F.greatest(c, F.lit(1)))
+        listed.agg(F.count("*").alias("n"), most("dl").alias("avgdl"), most("tokens").alias("avgtokens")).write.parquet(f"{path}/collection")
+        schema = "id {}, term string, tf long, dl int, tokens int, part int".format(dict(docs.dtypes)["id"])
+        self.postings, self.collection = spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/collection")
+
+    @classmethod
+    def part(cls, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(cls.PARTS)).cast("int")
+
+    def held(self, wanted: DataFrame) -> DataFrame:
+        """Postings of the wanted terms (term)."""
+        parts = [r.part for r in wanted.select(self.part(F.col("term")).alias("part")).distinct().collect()]  # PARTS at most
+        return self.postings.filter(F.col("part").isin(parts)).drop("part")
+
+
 def collection(docs: DataFrame) -> DataFrame:
     """n, avgdl (distinct terms, 1 at least) and avgtokens, in one row."""
     w = words(F.col("text"))
     return docs.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size(F.array_distinct(w)), F.lit(1))).alias("avgdl"), F.avg(F.greatest(F.size(w), F.lit(1))).alias("avgtokens"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bool = False, by_tokens: bool = False, candidates: DataFrame | None = None) -> DataFrame:
-    """qid, id, score, rk of docs (id, text) for queries (qid, text).
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int | None = 10, every_term: bool = False, by_tokens: bool = False, candidates: DataFrame | None = None) -> DataFrame:
+    """qid, id, score, rk of docs (id, text, or an Index of them) for queries (qid, text).
 
     Distinct query terms against distinct-term lengths; `every_term` asks for all of them. With `by_tokens` lengths are
     token counts and a term counts as often as the query has it. `candidates` (id) restricts the hits, not the statistics.
@@ -37,9 +67,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
     terms = queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     wanted = terms.select("term").distinct()
     few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
-    held = postings(docs).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    held = (docs.held(wanted) if isinstance(docs, Index) else postings(docs)).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(collection(docs))
+    stats = F.broadcast(docs.collection if isinstance(docs, Index) else collection(docs))  # one row
     idf = df.crossJoin(stats).select("term", okapi_idf(F.col("n"), F.col("df")).alias("idf"), "avgdl", "avgtokens")
     rows = held.join(F.broadcast(idf) if few else idf, "term")
     if candidates is not None:
@@ -57,10 +87,24 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, every_term: bo
 def token_overlap(docs: DataFrame, tokens: DataFrame, k: int | None = 10) -> DataFrame:
     """Documents by how many of a query's tokens (qid, term) they hold as words."""
     held = docs.select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    found = held.join(F.broadcast(tokens), "term").groupBy("qid", "id").agg(F.count("*").alias("score"))
+    found = held.join(tokens, "term").groupBy("qid", "id").agg(F.count("*").alias("score"))
     return top(found, k, ["qid"])
 
 
+def holding(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """qid, id where a text (id, text) contains a needle (qid, needle), without regard to case; empty needles are nowhere.
+
+    Few needles go to all tasks. Otherwise both sides meet by the needle's first three characters (or all of fewer),
+    which any text that contains it holds somewhere, and are compared after."""
+    asked = asked.select("qid", F.lower("needle").alias("needle")).filter("needle <> ''")
+    texts = texts.select("id", F.lower("text").alias("body"))
+    if asked.limit(MOST_NEEDLES + 1).count() <= MOST_NEEDLES:
+        return texts.join(F.broadcast(asked), F.contains("body", "needle")).select("qid", "id").distinct()
+    parts = F.flatten(F.transform(F.filter(F.array(*[F.lit(n) for n in (1, 2, 3)]), lambda n: n <= F.length("body")), lambda n: F.transform(F.sequence(F.lit(1), F.length("body") - n + 1), lambda i: F.substring("body", i, n))))
+    held = texts.select("id", "body", F.explode(F.array_distinct(parts)).alias("gram"))
+    return asked.withColumn("gram", F.substring("needle", 1, 3)).join(held, "gram").filter(F.contains("body", "needle")).select("qid", "id").distinct()
+
+
 def expansion(docs: DataFrame, ranked: DataFrame, queries: DataFrame, stop: list[str], depth: int = 8, terms: int = 8) -> DataFrame:
     """Feedback terms: the most frequent words of a query's first `depth` documents that it doesn't have."""
     held = ranked.filter(F.col("rk") <= depth).select("qid", "id").join(postings(docs).select("id", "term", "tf"), "id")

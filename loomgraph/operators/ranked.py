@@ -98,15 +98,22 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
 # -- metrics
 
 
-def metrics(ranked: DataFrame, gains: DataFrame, k: int) -> DataFrame:
-    """recall, mrr and ndcg at k of each query of `gains` (qid, id, gain): relevant means a positive gain."""
+def metrics(ranked: DataFrame, gains: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """recall, mrr and ndcg at k of each query of `gains` (qid, id, gain): relevant means a positive gain. Gains without
+    qid hold for every one of `queries` (qid): they are joined by id alone, and have one ideal list."""
     gold = gains.filter("gain > 0")
-    hits = ranked.filter(F.col("rk") <= k).join(gold, ["qid", "id"])
+    own = [c for c in ("qid",) if c in gains.columns]
+    hits = ranked.filter(F.col("rk") <= k).join(gold, [*own, "id"])
     dcg = lambda r: F.col("gain") / F.log2(r + 1.0)
     found = hits.groupBy("qid").agg(F.count("*").alias("hits"), F.min("rk").alias("first"), F.sum(dcg(F.col("rk"))).alias("dcg"))
-    ideal = gold.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gain"), "id")))
-    ideal = ideal.groupBy("qid").agg(F.count("*").alias("n_gold"), F.sum(F.when(F.col("r") <= k, dcg(F.col("r")))).alias("ideal"))
-    rows = gains.select("qid").distinct().join(ideal, "qid", "left").join(found, "qid", "left")
+    best = gold.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gain"), "id"))) if own else gold.orderBy(F.desc("gain"), "id").limit(k)
+    if own:
+        ideal = best.groupBy("qid").agg(F.count("*").alias("n_gold"), F.sum(F.when(F.col("r") <= k, dcg(F.col("r")))).alias("ideal"))
+        rows = gains.select("qid").distinct().join(ideal, "qid", "left")
+    else:
+        first = best.withColumn("r", F.row_number().over(Window.orderBy(F.desc("gain"), "id"))).agg(F.sum(dcg(F.col("r"))).alias("ideal"))
+        rows = queries.select("qid").distinct().crossJoin(gold.agg(F.nullif(F.count("*"), F.lit(0)).alias("n_gold"))).crossJoin(first)  # one row each
+    rows = rows.join(found, "qid", "left")
     ratio = lambda a, b: F.round(F.coalesce(F.col(a) / F.col(b), F.lit(0.0)), 6)
     return rows.select("qid", ratio("hits", "n_gold").alias("recall"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), ratio("dcg", "ideal").alias("ndcg"))
 
@@ -118,8 +125,9 @@ def canonical(ranked: DataFrame, document: Column) -> DataFrame:
 
 
 def restricted(ranked: DataFrame, pool: DataFrame) -> DataFrame:
-    """The list within a labelled pool (qid, id), ranks closed up."""
-    kept = ranked.join(pool.select("qid", "id").distinct(), ["qid", "id"], "left_semi")
+    """The list within a labelled pool (qid, id, or id for all queries), ranks closed up."""
+    keys = [c for c in ("qid", "id") if c in pool.columns]
+    kept = ranked.join(pool.select(*keys).distinct(), keys, "left_semi")
     return kept.withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("rk")))
 
 

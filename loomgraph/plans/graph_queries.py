@@ -251,5 +251,5 @@ def popularity_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item"), F.col("o_orderdate").alias("ts"))
     split = leave_one_out(rows)
     best = popularity(split.filter("not held"), 50).select("item", F.lit(1).alias("hit"))
-    held = split.filter("held").join(F.broadcast(best), "item", "left").na.fill(0, ["hit"])
+    held = split.filter("held").join(best, "item", "left").na.fill(0, ["hit"])
     return held.agg(F.count("*").alias("users"), F.sum("hit").cast("long").alias("hits"), F.round(F.avg("hit"), 6).alias("hit_rate"))

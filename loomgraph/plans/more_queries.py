@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import names as nm
 from ..functions import scores, text
-from ..operators import bridges, graph, learn, lexical, ranked, synergy
+from ..operators import bridges, graph, learn, lexical, pagerank, ranked, synergy
 from ..operators.recommend import mmr
 from ..session import table
 from ..sources import store
 from .catalog import query
 from .graph_queries import GRAPH, _PATHS, g
+from .ingest_queries import _members
 from .search_queries import _NAMED, _vector_graph, name_matches
 from .text_queries import BM25, OVERLAP, TOKENS, bm25_lists, gains, overlap_lists, passages, questions, vectors
 
@@ -31,9 +32,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = graph.event_paths(e, starts=graph.entities(n, labels=["USER"]).select("uuid"))
     dated = n.select(F.col("uuid").alias("m"), "happened_at", F.array_contains("labels", "EVENT").alias("is_event"))
     rows = paths.join(seeds, "b").join(dated, "m")
-    whole = bridges.completeness(F.col("is_event"), F.col("r_name"), F.col("r2_name"), F.lit(True), F.col("happened_at").isNotNull())
-    value = scores.relevance(F.col("dist"), F.lit(0.0), whole, scores.recency(F.col("happened_at"), F.lit("2024-06-30").cast("timestamp")), F.lit(0.0))
-    return rows.select("qid", "n", "r", "m", "r2", "b", "dist", F.round(value, 6).alias("relevance"), "r2_name")
+    return rows.select("qid", "n", "r", "m", "r2", "b", "dist", F.round(_relevance(F.col("r_name")), 6).alias("relevance"), "r2_name")
+
+
+def _relevance(leg: Column) -> Column:
+    """Of rows with dist, is_event, r2_name and happened_at, without walked mass and topic."""
+    whole = bridges.completeness(F.col("is_event"), leg, F.col("r2_name"), F.lit(True), F.col("happened_at").isNotNull())
+    return scores.relevance(F.col("dist"), F.lit(0.0), whole, scores.recency(F.col("happened_at"), F.lit("2024-06-30").cast("timestamp")), F.lit(0.0))
 
 
 @query(_FACTS + " select qid, r, r2, m, relevance, row_number() over (partition by qid order by relevance desc, dist, m, r, r2)::int rk from v qualify rk <= 20")
@@ -45,9 +50,35 @@ def fact_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts chosen so that hubs and users vary."""
-    rows = facts(spark, sf_dir).select("qid", F.concat_ws("|", "r", "r2").alias("id"), F.col("relevance").alias("score"), F.col("m").alias("hub"), F.array("n").alias("sessions"), bridges.leg_kind(F.col("r2_name")).alias("kind"))
-    return bridges.diversified(rows, 8)
+    """Facts by distance, walked mass, completeness and age, joined by facts of hubs that share an
+    entity with the query's nearest hubs, and chosen so that hubs and users vary."""
+    return bridges.diversified(_context_pool(spark, sf_dir), 8)
+
+
+def _context_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, id, score, hub, sessions, kind, bridge."""
+    own = facts(spark, sf_dir).withColumn("id", F.concat_ws("|", "r", "r2"))
+    own = store.written(own.withColumns({"w1": bridges.leg_weight(F.lit("MADE")), "w2": bridges.leg_weight(F.col("r2_name")), "seed": F.col("b")}))
+    mass = pagerank.fact_masses(own.select("qid", "id", "n", "m", "b", "w1", "w2", "seed", "dist"), store.written)
+    scored = own.join(mass, ["qid", "id"], "left").withColumn("score", F.round(F.col("relevance") + 0.25 * F.coalesce("mass", F.lit(0.0)), 6))
+    shape = lambda rows, bridge: rows.select("qid", "id", "score", F.col("m").alias("hub"), F.array("n").alias("sessions"), bridges.leg_kind(F.col("r2_name")).alias("kind"), F.lit(bridge).alias("bridge"))
+    # the twelve nearest hubs of a query, their neighbours through customers or parts, and what happened there
+    hubs = own.groupBy("qid", F.col("m").alias("hub")).agg(F.min("dist").alias("dist"))
+    hubs = store.written(ranked.top(hubs.withColumn("near", -F.col("dist")), 12, ["qid"], score="near", tie="hub").select("qid", "hub", "dist", F.col("rk").alias("at")))
+    members = _members(spark, sf_dir)
+    shared = members.join(hubs.select(F.col("hub").alias("event")).distinct(), "event").select(F.col("event").alias("hub"), "entity")
+    nbrs = shared.join(members.select("entity", F.col("event").alias("nbr")), "entity").filter("hub <> nbr").groupBy("hub", "nbr").agg(F.min("entity").alias("entity"))
+    n, e = g(spark, sf_dir)
+    known = store.written(graph.event_paths(e, starts=graph.entities(n, labels=["USER"]).select("uuid")).select("n", "m", "r", "r2", "b", "r2_name"))
+    users = known.groupBy(F.col("m").alias("nbr")).agg(F.array_sort(F.collect_set("n")).alias("sessions"))
+    pool = hubs.join(nbrs, "hub").join(users, "nbr").select("qid", "at", "hub", "nbr", F.lit(1.0).alias("weight"), "sessions")
+    chosen = bridges.novel_neighbours(pool)
+    there = known.select(F.col("m").alias("hub"), F.concat_ws("|", "r", "r2").alias("id"))
+    found = bridges.bridge_facts(chosen, hubs.select("qid", "hub", "dist"), there, own.select("qid", "id"))
+    dated = n.select(F.col("uuid").alias("m"), "happened_at", F.array_contains("labels", "EVENT").alias("is_event"))
+    more = found.select("qid", "id", F.col("score").alias("dist")).join(known.withColumn("id", F.concat_ws("|", "r", "r2")), "id").join(dated, "m")
+    more = more.withColumn("score", F.round(_relevance(F.lit("MADE")), 6))
+    return shape(scored, False).unionByName(shape(more, True))
 
 
 @query(_FACTS + ", x as (select distinct qid, m from v) select qid, count(*) hubs, min(m) first_hub from x group by 1")
@@ -123,7 +154,7 @@ def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def learned_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise model in five folds."""
-    rows = rank_features(spark, sf_dir).join(gains(spark, sf_dir), ["qid", "id"], "left").na.fill(0.0, ["gain"])
+    rows = rank_features(spark, sf_dir).join(gains(spark, sf_dir), "id", "left").na.fill(0.0, ["gain"])
     return ranked.top(learn.ranknet(rows, ["bm25_rr", "bm25_score", "overlap_rr", "overlap_score", "lists"]), 10, ["qid"])
 
 
@@ -190,8 +221,7 @@ k as (select *, sum(fresh) over (order by qid, r rows unbounded preceding) docs
 def catalog_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V7: a sample of queries and candidates under caps, as a feature."""
     judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("gain"), F.col("doc_id").alias("pos"))
-    q = questions(spark, sf_dir).select("qid")
-    return learn.sampled_catalog(q, q.crossJoin(F.broadcast(judged)), 10, 20, 500)
+    return learn.sampled_catalog(questions(spark, sf_dir).select("qid"), judged, 10, 20, 500)
 
 
 @query("with" + TOKENS + r""", one as (select item_id qid, unnest(list_distinct([x for x in regexp_extract_all(lower(text), '[\p{L}\p{N}]+') if length(x) >= 3 and x not in ('the','and','for','with','from','this','that','are','was')])) term from benchmark),
@@ -201,7 +231,7 @@ def literal_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = questions(spark, sf_dir).select("qid", F.explode(text.hybrid_tokens(F.col("text"))).alias("term"))
     held = passages(spark, sf_dir).select("id", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
     w = Window.partitionBy("qid", "term").orderBy(F.desc("id"))
-    newest = held.join(F.broadcast(terms), "term").withColumn("r", F.row_number().over(w)).filter("r <= 5")
+    newest = held.join(terms, "term").withColumn("r", F.row_number().over(w)).filter("r <= 5")
     return ranked.top(newest.groupBy("qid", "id").agg(F.count("*").alias("score")), 10, ["qid"])
 
 

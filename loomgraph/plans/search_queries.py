@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import scores, text
-from ..operators import channels, dense, graph, ranked, synergy
+from ..operators import channels, dense, graph, lexical, ranked, synergy
 from ..session import table
 from .catalog import query
 from .graph_queries import GRAPH, g
@@ -34,7 +34,8 @@ def name_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products by the likeness of their names."""
     asked = names(spark, sf_dir).select("qid", text.graph_tokens(F.col("text")).alias("tokens"))
     goods = table(spark, sf_dir, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), "p_name")
-    rows = goods.join(F.broadcast(asked), F.exists("tokens", lambda t: F.contains(F.lower("p_name"), t)) | F.contains(F.lower("p_name"), F.lower("qid")))
+    needles = asked.select("qid", F.explode(F.concat(F.array("qid"), "tokens")).alias("needle"))
+    rows = lexical.holding(goods.withColumnRenamed("p_name", "text"), needles).join(goods, "id").join(asked, "qid")
     return ranked.top(rows.select("qid", "id", F.round(text.name_score(F.col("qid"), F.col("tokens"), F.col("p_name")), 6).alias("score")), 10, ["qid"])
 
 

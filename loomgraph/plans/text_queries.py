@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text
 from ..operators import dense, lexical, ranked
 from ..session import table
+from ..sources import store
 from .catalog import query
 
 
@@ -24,9 +25,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question is judged against every labelled document: gain = quality."""
-    judged = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("gain"))
-    return questions(spark, sf_dir).select("qid").crossJoin(F.broadcast(judged))
+    """id and gain = quality of every labelled document, for all questions alike."""
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("gain"))
 
 
 # SQL that several queries share
@@ -69,6 +69,12 @@ def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_lists(spark, sf_dir)
 
 
+@query("with" + BM25 + " select * from bm")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over stored postings, of which a search reads its own terms' folders."""
+    return lexical.bm25(lexical.Index(passages(spark, sf_dir), store.shared_path(spark, "index")), questions(spark, sf_dir))
+
+
 @query("with" + TOKENS + "," + _SCORED + ", asked as (select qid, count(*) n from qt group by 1) select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from scored join asked using (qid) where matched = n qualify rk <= 10")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every term."""
@@ -147,7 +153,7 @@ select qid, round(coalesce(hits / n, 0)::double, 6) recall, round(coalesce(1.0 /
 from (select distinct qid from judged) left join ideal using (qid) left join hits using (qid)""")
 def ndcg_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the BM25 lists against the labels."""
-    return ranked.metrics(bm25_lists(spark, sf_dir), gains(spark, sf_dir), 10)
+    return ranked.metrics(bm25_lists(spark, sf_dir), gains(spark, sf_dir), 10, questions(spark, sf_dir))
 
 
 @query("with" + BM25 + """, m as (select lang slice, b.score from bm b join documents d on d.doc_id = b.id)
@@ -177,7 +183,7 @@ def labelled_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with" + BM25 + " select b.qid, b.id, b.rk, coalesce(l.quality, 0)::double gain from bm b left join labels l on l.doc_id = b.id")
 def labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved lists with their labels, unlabelled as irrelevant."""
-    rows = bm25_lists(spark, sf_dir).select("qid", "id", "rk").join(gains(spark, sf_dir), ["qid", "id"], "left")
+    rows = bm25_lists(spark, sf_dir).select("qid", "id", "rk").join(gains(spark, sf_dir), "id", "left")
     return rows.select("qid", "id", "rk", F.coalesce("gain", F.lit(0.0)).alias("gain"))
 
 
@@ -185,7 +191,7 @@ def labelled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 select qid, md5(text) text_md5, row_number() over (partition by qid order by fst, text)::int rk from n""")
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved texts that aren't relevant, each once."""
-    rows = bm25_lists(spark, sf_dir).join(gains(spark, sf_dir).filter("gain > 0"), ["qid", "id"], "left_anti").join(passages(spark, sf_dir).select("id", "text"), "id")
+    rows = bm25_lists(spark, sf_dir).join(gains(spark, sf_dir).filter("gain > 0"), "id", "left_anti").join(passages(spark, sf_dir).select("id", "text"), "id")
     first = rows.groupBy("qid", "text").agg(F.min("rk").alias("at"))
     return first.select("qid", F.md5("text").alias("text_md5"), F.row_number().over(Window.partitionBy("qid").orderBy("at", "text")).alias("rk"))
 
@@ -210,10 +216,9 @@ def feedback_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""select item_id qid, doc_id id from benchmark b join documents d on contains(lower(d.text), lower(regexp_extract(b.text, '[\p{L}]{6,}')))""")
 def contains_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Case-insensitive containment of each question's first long word. The questions, few by nature, are the
-    broadcast side of the nested loop; the passages are scanned once."""
-    asked = questions(spark, sf_dir).select("qid", F.lower(F.regexp_extract("text", r"[\p{L}]{6,}", 0)).alias("needle"))
-    return passages(spark, sf_dir).join(F.broadcast(asked), F.contains(F.lower("text"), F.col("needle"))).select("qid", "id")
+    """Case-insensitive containment of each question's first long word."""
+    asked = questions(spark, sf_dir).select("qid", F.regexp_extract("text", r"[\p{L}]{6,}", 0).alias("needle"))
+    return lexical.holding(passages(spark, sf_dir), asked)
 
 
 # -- dense
@@ -252,7 +257,7 @@ def centroid_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     parts = v.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
-    rows = v.join(F.broadcast(centre), "label").select("label", F.col("id").alias("vec_id"), F.round(scores.cosine(F.col("embedding"), F.col("centre")), 6).alias("score"))
+    rows = v.join(centre, "label").select("label", F.col("id").alias("vec_id"), F.round(scores.cosine(F.col("embedding"), F.col("centre")), 6).alias("score"))
     return ranked.top(rows, 3, ["label"], tie="vec_id")
 
 

@@ -1,6 +1,9 @@
+import math
 import random
 
-from loomgraph.operators import bridges, channels, recommend
+import pytest
+from loomgraph.operators import bridges, channels, lexical, pagerank, ranked, recommend
+from loomgraph.sources import store
 from pyspark.sql import functions as F
 
 
@@ -103,3 +106,95 @@ def test_facts_are_diversified_over_all(spark):
     for r in bridges.diversified(df, 8).orderBy("qid", "rk").collect():
         got.setdefault(r.qid, []).append(r.id)
     assert got == {q: chosen_facts([r[1:] for r in rows if r[0] == q], 8) for q in ("q0", "q1", "q2", "q3")}
+
+
+def walked(facts, rounds=20, damping=0.85):
+    """One query's masses of nodes, by hand; facts (n, m, b, w1, w2, seed, dist)."""
+    edges, seeds = {}, {}
+    for n, m, b, w1, w2, seed, dist in facts:
+        seeds[seed] = max(seeds.get(seed, 0), 1 / (1 + max(0, round(dist, 3))))
+        for x, y, w in ((n, m, w1), (m, b, w2), (n, b, min(w1, w2) / 2)):
+            for p in ((x, y), (y, x)):
+                edges[p] = max(edges.get(p, 0), w)
+    nodes = sorted({x for p in edges for x in p})
+    jump = {x: seeds.get(x, 0) / sum(seeds.values()) for x in nodes}
+    out = {x: sum(w for (a, _), w in edges.items() if a == x) for x in nodes}
+    mass = dict(jump)
+    for _ in range(rounds):
+        mass = {x: (1 - damping) * jump[x] + damping * sum(mass[a] * w / out[a] for (a, b), w in edges.items() if b == x) for x in nodes}
+    return mass
+
+
+def test_masses_of_all_queries_at_once(spark):
+    rng = random.Random(8)
+    rows = [(f"q{i % 3}", f"f{i}", f"u{rng.randrange(4)}", f"e{rng.randrange(5)}", f"p{rng.randrange(4)}", 1.0, rng.choice([0.35, 1.0]), rng.randrange(9) / 9) for i in range(60)]
+    rows = [(q, i, n, m, b, x, y, b, d) for q, i, n, m, b, x, y, d in rows]
+    df = spark.createDataFrame(rows, "qid string, id string, n string, m string, b string, w1 double, w2 double, seed string, dist double")
+    got = {(r.qid, r.id): r.mass for r in pagerank.fact_masses(df, store.written).collect()}
+    for q in ("q0", "q1", "q2"):
+        mass = walked([r[2:] for r in rows if r[0] == q])
+        for _, i, n, m, b, *_ in [r for r in rows if r[0] == q]:
+            assert abs(got[q, i] - max(mass[n], mass[m], mass[b])) < 1e-9
+
+
+@pytest.mark.parametrize("most", [300, 0])
+def test_texts_that_hold_a_needle(spark, most, monkeypatch):
+    monkeypatch.setattr(lexical, "MOST_NEEDLES", most)
+    texts = [(1, "Red Lamp"), (2, "lamplight"), (3, "a"), (4, None), (5, "ümläut é"), (6, "xx red lam")]
+    asked = [("q", "LAMP"), ("q", "red"), ("r", "a"), ("s", ""), ("t", None), ("u", "ÜM"), ("v", "d l"), ("w", "xx")]
+    got = lexical.holding(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(asked, "qid string, needle string")).collect()
+    want = {(q, i) for q, n in asked if n for i, t in texts if t and n.lower() in t.lower()}
+    assert sorted((r.qid, r.id) for r in got) == sorted(want)
+
+
+def test_stored_postings_search_alike(spark, tmp_path):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, 40)))) for i in range(150)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(60)}" for _ in range(4))) for q in range(9)], "qid long, text string")
+    index = lexical.Index(docs, str(tmp_path / "index"))
+    for options in ({}, {"every_term": True}, {"by_tokens": True}):
+        one, two = (sorted(map(tuple, lexical.bm25(d, asked, **options).select("qid", "id", "score", "rk").collect())) for d in (docs, index))
+        assert one == two and (one or options)
+
+
+def bm25_by_hand(docs, query, k=10):
+    """Any term, distinct query terms, lengths in distinct terms."""
+    words = {i: t.lower().split() for i, t in docs}
+    n, size = len(docs), {i: max(1, len(set(w))) for i, w in words.items()}
+    mean = sum(size.values()) / n
+    score = {}
+    for term in set(query.lower().split()):
+        df = sum(term in w for w in words.values())
+        for i, w in words.items():
+            if term in w:
+                tf = w.count(term)
+                score[i] = score.get(i, 0) + math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size[i] / mean))
+    return [i for i, _ in sorted(((i, round(s, 6)) for i, s in score.items()), key=lambda x: (-x[1], x[0]))][:k]
+
+
+def test_passages_of_variants_by_hand(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("red blue lamp chair table book Ann read old new".split()) for _ in range(rng.randint(3, 12)))) for i in range(40)]
+    asked = [("a", "red lamp"), ("b", "Which books did Ann read")]
+    got = {}
+    for r in channels.passages_by_variants(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "qid string, text string"), 6).orderBy("qid", "rk").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    variants = {"a": ["red lamp", "red", "lamp"], "b": ["Which books did Ann read", "Which", "books", "did", "Ann", "read"]}
+    for q, texts in variants.items():
+        score, first = {}, {}
+        for no, t in enumerate(texts):
+            for rk, i in enumerate(bm25_by_hand(docs, t, 6), 1):
+                score[i] = score.get(i, 0) + 1 / (60 + rk)
+                first.setdefault(i, (no, rk))
+        assert got[q] == sorted(score, key=lambda i: (-round(score[i], 6), first[i]))[:6]
+
+
+def test_gains_for_all_queries_alike(spark):
+    rng = random.Random(5)
+    hits = spark.createDataFrame([(q, i, rk, 1.0) for q in range(4) for rk, i in enumerate(rng.sample(range(30), 12), 1)], "qid long, id long, rk int, score double")
+    gains = spark.createDataFrame([(i, float(rng.randrange(3))) for i in range(0, 30, 2)], "id long, gain double")
+    queries = spark.createDataFrame([(q,) for q in range(6)], "qid long")
+    one = ranked.metrics(hits, gains, 5, queries).orderBy("qid").collect()
+    assert one == ranked.metrics(hits, queries.crossJoin(gains), 5).orderBy("qid").collect() and len(one) == 6
+    none = ranked.metrics(hits, gains.filter("gain > 9"), 5, queries).collect()
+    assert {(r.recall, r.mrr, r.ndcg) for r in none} == {(0.0, 0.0, 0.0)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import stable_uuid
+from ..functions.scores import cosine, stable_uuid
 
 # Reason codes of rejected triples and ranks of task states.
 STATES = {"queued": 0, "started": 1, "persisted": 2, "consolidated": 3, "completed": 4, "failed": 4}
@@ -45,9 +45,24 @@ def superseded(facts: DataFrame, subject: str = "subject", kind: str = "type", v
     return rows.withColumn("invalid_at", F.when(F.coalesce(F.col(kind), F.lit("")) != "", F.first("_step", ignorenulls=True).over(back))).drop("_step")
 
 
-def resolved(new: DataFrame, known: DataFrame, near: DataFrame, least: float = 0.9, gap: float = 0.02) -> DataFrame:
+def resolved_events(new: DataFrame, anchors: DataFrame, known: DataFrame, links: DataFrame, least: float = 0.7, gap: float = 0.02) -> DataFrame:
+    """key, match of new events (key, embedding, day) against known ones (uuid, embedding, day): those linked (anchor,
+    uuid) with at least half of a new event's anchors (key, anchor), on the same day where both have one, and with names
+    of a cosine of `least`; the nearest, unless the second is within `gap`."""
+    held = anchors.select("key", "anchor").distinct()
+    need = held.groupBy("key").agg(F.greatest(F.lit(1), F.floor((F.count("*") + 1) / 2)).alias("need"))
+    shared = held.join(links.select("anchor", "uuid").distinct(), "anchor").groupBy("key", "uuid").agg(F.count("*").alias("n"))
+    rows = shared.join(need, "key").filter("n >= need").join(new.select("key", F.col("embedding").alias("e1"), F.col("day").alias("d1")), "key").join(known.select("uuid", F.col("embedding").alias("e2"), F.col("day").alias("d2")), "uuid")
+    rows = rows.filter(F.col("d1").isNull() | F.col("d2").isNull() | (F.col("d1") == F.col("d2"))).withColumn("sim", F.round(cosine(F.col("e1"), F.col("e2")), 6)).filter(F.col("sim") >= least)
+    w = Window.partitionBy("key").orderBy(F.desc("sim"), "uuid")
+    first = rows.select("key", F.col("uuid").alias("match"), "sim", F.lead("sim").over(w).alias("second"), F.row_number().over(w).alias("r")).filter("r = 1")
+    return first.filter(F.col("second").isNull() | (F.round(F.col("sim") - F.col("second"), 6) >= gap)).select("key", "match")
+
+
+def resolved(new: DataFrame, known: DataFrame, near: DataFrame, least: float = 0.9, gap: float = 0.02, events: DataFrame | None = None) -> DataFrame:
     """new (key, uuid, name, type) against known (uuid, name, type): by uuid, then by name and type, then by the nearest
-    of near (key, uuid, sim) of the same type at `least`, unless the second is within `gap`. match, how."""
+    of near (key, uuid, sim) of the same type at `least`, unless the second is within `gap`, then by events (key, match),
+    as resolved_events gives them. match, how."""
     by_id = new.join(known.select(F.col("uuid").alias("m1")), F.col("uuid") == F.col("m1"), "left")
     names = known.groupBy(F.lower("name").alias("n"), F.lower("type").alias("t")).agg(F.min("uuid").alias("m2"))
     by_name = by_id.join(names, (F.lower("name") == F.col("n")) & (F.lower("type") == F.col("t")), "left").drop("n", "t")
@@ -56,8 +71,11 @@ def resolved(new: DataFrame, known: DataFrame, near: DataFrame, least: float = 0
     first = typed.filter(F.col("sim") >= least).select("key", "c", "sim", F.lead("sim").over(w).alias("second"), F.row_number().over(w).alias("r")).filter("r = 1")
     first = first.filter(F.col("second").isNull() | (F.round(F.col("sim") - F.col("second"), 6) >= gap)).select("key", F.col("c").alias("m3"))
     rows = by_name.join(first, "key", "left")
-    how = F.when(F.col("m1").isNotNull(), "uuid").when(F.col("m2").isNotNull(), "name").when(F.col("m3").isNotNull(), "vector").otherwise("new")
-    return rows.select("key", F.coalesce("m1", "m2", "m3").alias("match"), how.alias("how"))
+    rows = rows.withColumn("m4", F.lit(None).cast("string")) if events is None else rows.join(events.select("key", F.col("match").alias("m4")), "key", "left")
+    how = F.lit("new")
+    for step, m in (("event", "m4"), ("vector", "m3"), ("name", "m2"), ("uuid", "m1")):
+        how = F.when(F.col(m).isNotNull(), step).otherwise(how)
+    return rows.select("key", F.coalesce("m1", "m2", "m3", "m4").alias("match"), how.alias("how"))
 
 
 def without_known_edges(new: DataFrame, near: DataFrame, known: DataFrame, most: float = 0.1) -> DataFrame:

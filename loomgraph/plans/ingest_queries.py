@@ -65,11 +65,43 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merged_nodes(writes).join(counts, "uuid").select("uuid", "writes", F.size("aliases").cast("long").alias("kinds"))
 
 
-@query("""select o_custkey uuid, max(o_orderkey) o_orderkey, arg_max(o_orderstatus, o_orderkey) o_orderstatus from orders group by 1""")
+@query("""select o_custkey uuid, arg_max(o_orderkey, (o_orderstatus <> 'F', o_orderkey)) o_orderkey, arg_max(o_orderstatus, (o_orderstatus <> 'F', o_orderkey)) o_orderstatus from orders group by 1""")
 def upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last writer wins."""
+    """Finished orders are written to a table, then the others over them; the last writer wins."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uuid"), "o_orderkey", "o_orderstatus")
-    return store.upsert(rows.limit(0), rows, "uuid", "o_orderkey")
+    sink = store.Sink(spark, store.shared_path(spark, "sink"))
+    last = lambda old, new: store.upsert(old, new, "uuid", "o_orderkey")
+    sink.write(rows.filter("o_orderstatus = 'F'"), last)
+    return sink.write(rows.filter("o_orderstatus <> 'F'"), last)
+
+
+@query("""select event_id::varchar item_id, user_id::varchar user_id, event_type behavior, value from events where event_type <> 'error'""")
+def json_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions as JSON lines, written and read back; lines that lack a required field go."""
+    path = store.shared_path(spark, "lines")
+    rows = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("item_id"), F.col("user_id").cast("string").alias("user_id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("behavior"), "value")
+    rows.write.json(path)
+    return store.json_lines(spark, path, "item_id string, user_id string, behavior string, value double", ["user_id", "item_id", "behavior"])
+
+
+@query("""select o_custkey::varchar query, (row_number() over (partition by o_custkey order by o_orderkey) - 1)::int pos, o_orderkey::varchar wid, o_orderstatus label, 'p ' || replace(o_orderpriority, '-', ' ') terms from orders""")
+def packed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tab-separated log with packed lists and terms, written and unpacked."""
+    path = store.shared_path(spark, "log")
+    one = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", F.replace(F.concat(F.lit("p\x18\x18"), F.replace("o_orderpriority", F.lit("-"), F.lit("\x18"))), F.lit("_"), F.lit("-")).alias("terms"))))
+    join = lambda name: F.array_join(F.transform("r", lambda x: x[name].cast("string")), "_").alias
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("query")).agg(one.alias("r"))
+    rows.select("query", join("o_orderkey")("wid"), join("o_orderstatus")("label"), join("terms")("terms")).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    log = store.tab_separated(spark, path, "query string, wid string, label string, terms string")
+    return store.packed(log, ["wid", "label", "terms"]).withColumn("terms", store.packed_terms(F.col("terms")))
+
+
+@query("""select o_custkey::varchar user_id, o_orderkey::varchar item_id, round(o_totalprice, 2) rating, epoch(o_orderdate)::bigint unix_s from orders""")
+def rating_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rating file without header, written and read as interactions."""
+    path = store.shared_path(spark, "ratings")
+    table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice", 2), F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).write.option("sep", "\t").csv(path)
+    return store.ratings(spark, path).select("user_id", "item_id", "rating", F.unix_timestamp("ts").alias("unix_s"))
 
 
 @query("""with pairs as (select a.vec_id q, b.vec_id id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) s, a.label ql, b.label bl from embeddings a, embeddings b where a.vec_id <> b.vec_id),

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +22,13 @@ _own: dict[str, str] = {}
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors see, below spark.checkpoint.dir, or a local one where that is unset
-    (tests). All of an application's are removed when its driver ends."""
+    and Spark runs on this machine alone (tests). All of an application's are removed when its driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/loomgraph"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = base or f"file://{tempfile.gettempdir()}/loomgraph"
         _own[app] = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _own[app])
     return f"{_own[app]}/{name}-{uuid.uuid4().hex}"
@@ -72,6 +77,39 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     return best.select(key, *[F.col(f"r.{n}").alias(n) for n in names]).select(*old.columns)
 
 
+class Sink:
+    """A table in a folder that merges what is written to it: each write reads the last whole version, merges, and leaves
+    a new one beside it, so that readers keep theirs and a write that dies leaves nothing behind that counts."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def versions(self) -> list[int]:
+        """Whole versions, in order."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/version=*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+        return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+    def read(self) -> DataFrame | None:
+        done = self.versions()
+        return self.spark.read.parquet(f"{self.path}/version={done[-1]:08d}") if done else None
+
+    def write(self, new: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        old = self.read()
+        old = new.limit(0) if old is None else old
+        to = (self.versions() or [0])[-1] + 1
+        merge(old, new).write.mode("overwrite").parquet(f"{self.path}/version={to:08d}")
+        return self.read()
+
+    def keep(self, most: int = 2) -> None:
+        """Removes all but the last `most` versions."""
+        conf, jvm = self.spark.sparkContext._jsc.hadoopConfiguration(), self.spark.sparkContext._jvm
+        for n in self.versions()[:-most]:
+            at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={n:08d}")
+            at.getFileSystem(conf).delete(at, True)
+
+
 def without_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the nodes in gone (uuid) and the edges at them."""
     left = edges.join(gone.select(F.col("uuid").alias("src")), "src", "left_anti").join(gone.select(F.col("uuid").alias("dst")), "dst", "left_anti")

@@ -2,7 +2,7 @@ import math
 import random
 
 import pytest
-from loomgraph.operators import bridges, channels, lexical, pagerank, ranked, recommend
+from loomgraph.operators import bridges, channels, ingest, lexical, pagerank, ranked, recommend
 from loomgraph.sources import store
 from pyspark.sql import functions as F
 
@@ -198,3 +198,34 @@ def test_gains_for_all_queries_alike(spark):
     assert one == ranked.metrics(hits, queries.crossJoin(gains), 5).orderBy("qid").collect() and len(one) == 6
     none = ranked.metrics(hits, gains.filter("gain > 9"), 5, queries).collect()
     assert {(r.recall, r.mrr, r.ndcg) for r in none} == {(0.0, 0.0, 0.0)}
+
+
+def test_events_resolve_by_anchors_days_and_names(spark):
+    x, y, z = [1.0, 0.0], [0.8, 0.6], [0.0, 1.0]
+    new = spark.createDataFrame([("k1", x, "d1"), ("k2", x, None), ("k3", x, "d1"), ("k4", x, "d1"), ("k5", x, "d9")], "key string, embedding array<double>, day string")
+    anchors = spark.createDataFrame([("k1", "a"), ("k1", "b"), ("k1", "c"), ("k2", "a"), ("k3", "d"), ("k4", "e"), ("k5", "a")], "key string, anchor string")
+    known = spark.createDataFrame([("e1", x, "d1"), ("e2", x, "d1"), ("e3", z, "d1"), ("e4", y, None), ("e5", y, "d1")], "uuid string, embedding array<double>, day string")
+    links = spark.createDataFrame([("a", "e1"), ("b", "e1"), ("a", "e2"), ("d", "e3"), ("d", "e4"), ("e", "e4"), ("e", "e5")], "anchor string, uuid string")
+    got = {r.key: r.match for r in ingest.resolved_events(new, anchors, known, links).collect()}
+    # k1: e2 shares one anchor of three; k2: e1 and e2 alike; k3: e3's name is another; k4: e4 and e5 alike; k5: other days
+    assert got == {"k1": "e1", "k3": "e4"}
+    asked = spark.createDataFrame([("k1", "u9", "E", "EVENT"), ("k5", "u8", "F", "EVENT")], "key string, uuid string, name string, type string")
+    events = spark.createDataFrame(list(got.items()), "key string, match string")
+    all_known = spark.createDataFrame([("e1", "other", "EVENT")], "uuid string, name string, type string")
+    near = spark.createDataFrame([], "key string, uuid string, sim double")
+    assert {r.key: (r.match, r.how) for r in ingest.resolved(asked, all_known, near, events=events).collect()} == {"k1": ("e1", "event"), "k5": (None, "new")}
+
+
+def test_a_sink_merges_and_keeps_versions(spark, tmp_path):
+    sink = store.Sink(spark, f"file://{tmp_path}/t")
+    row = lambda *r: spark.createDataFrame(r, "uuid string, at int, v string")
+    last = lambda old, new: store.upsert(old, new, "uuid", "at")
+    assert sink.read() is None
+    sink.write(row(("a", 1, "x"), ("b", 9, "y")), last)
+    sink.write(row(("b", 2, "z"), ("c", 3, "w")), last)
+    assert sorted(tuple(r) for r in sink.read().collect()) == [("a", 1, "x"), ("b", 2, "z"), ("c", 3, "w")]
+    sink.write(row(("a", 5, "q")), last)
+    (tmp_path / "t" / "version=00000007").mkdir()  # a write that died
+    assert sink.versions() == [1, 2, 3]
+    sink.keep(1)
+    assert sink.versions() == [3] and sink.read().count() == 3

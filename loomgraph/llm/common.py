@@ -24,10 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application below `spark.checkpoint.dir`; only where that is unset, a local one (tests)."""
+    """A folder of this application below `spark.checkpoint.dir`; only where that is unset and Spark runs on this
+    machine alone, a local one (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='loomgraph-')}"
         _own[app] = f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _own[app])
     return _own[app]

@@ -227,6 +227,13 @@ _COS = """
 pairs as (select a.vec_id qid, b.vec_id id, a.label ql, b.label bl, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score from embeddings a, embeddings b where a.vec_id <> b.vec_id)"""
 
 
+@query()
+def cosine_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every fiftieth vector by inverted lists, approximately."""
+    v = vectors(spark, sf_dir).select("id", "embedding")
+    return dense.approximate(v, v.filter("id % 50 = 0").withColumnRenamed("id", "qid"), 10)
+
+
 @query("with" + _COS + " select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from pairs qualify rk <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of each vector, exactly."""

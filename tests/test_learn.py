@@ -45,6 +45,18 @@ def test_nearest_in_small_blocks_as_numpy(spark, monkeypatch):
     assert dense.nearest(df, df.withColumnRenamed("id", "qid").limit(0), 4).count() == 0
 
 
+def test_inverted_lists_find_nine_of_ten(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    exact, found = ({(r.qid, r.id): r.score for r in rows.collect()} for rows in (dense.nearest(v, asked, 10), dense.approximate(v, asked, 10)))
+    assert len(exact) >= 300 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(abs(exact[x] - found[x]) < 2e-6 for x in exact.keys() & found.keys())
+    assert dense.listed(v, dense.centroids(v)[0]).select("id").distinct().count() == v.count()
+    odd = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, 0.0]), (5, [1.0])], "id long, embedding array<double>")
+    assert {(r.qid, r.id) for r in dense.approximate(odd, odd.filter("id = 4").withColumnRenamed("id", "qid"), 5).collect()} == {(4, 1), (4, 4)}
+    assert dense.approximate(odd.limit(0), odd.withColumnRenamed("id", "qid"), 5).count() == 0
+
+
 def test_reduction_is_greedy_in_order(spark):
     rows = spark.createDataFrame([("k", 1, [1.0, 0.0]), ("k", 2, [1.0, 0.05]), ("k", 3, [0.0, 1.0]), ("j", 4, [1.0, 0.05])], "key string, id int, embedding array<double>")
     assert sorted(r.id for r in learn.reduced(rows).collect()) == [1, 3, 4]

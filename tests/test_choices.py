@@ -1,7 +1,9 @@
 import math
 import random
+import re
 
 import pytest
+from loomgraph import model
 from loomgraph.operators import bridges, channels, ingest, lexical, pagerank, ranked, recommend
 from loomgraph.sources import store
 from pyspark.sql import functions as F
@@ -229,3 +231,50 @@ def test_a_sink_merges_and_keeps_versions(spark, tmp_path):
     assert sink.versions() == [1, 2, 3]
     sink.keep(1)
     assert sink.versions() == [3] and sink.read().count() == 3
+
+
+def test_entities_and_communities_by_hand(spark):
+    things = {"h1": ("acme", ["BRAND"]), "h2": ("lamp", ["CATEGORY"]), "h3": ("acme tools", ["BRAND"]), "p1": ("acme lamp one", ["PRODUCT"]), "p2": ("acme chair", ["PRODUCT"]), "p3": ("blue lamp", ["PRODUCT"]), "p4": ("other", ["PRODUCT"]), "ev": ("bought", ["EVENT"])}
+    ends = [("p1", "h1"), ("p1", "h2"), ("p2", "h1"), ("p3", "h2"), ("p4", "h3"), ("ev", "h1"), ("ev", "p4")]
+    n = model.nodes(spark.createDataFrame([(u, x, name) for u, (name, x) in things.items()], "uuid string, labels array<string>, name string"))
+    e = model.edges(spark.createDataFrame([(f"e{i}", a, b) for i, (a, b) in enumerate(ends)], "uuid string, src string, dst string"))
+    queries = {"q1": "acme lamp", "q2": "acme"}
+    asked = spark.createDataFrame(list(queries.items()), "qid string, text string")
+
+    def named(query, name):  # how far a name is the query's, by its text and by its tokens
+        q, tokens = query.lower(), [t for t in dict.fromkeys(re.findall("[a-z0-9]{3,}", query.lower())) if t != query.lower()]
+        hits = sum(t in name for t in tokens)
+        return (5.0 if name == q else 3.0 if q in name else 0.0) + hits + (hits / len(tokens) if tokens else 0.0) + (0.75 if len(tokens) == 2 and q in name else 0.0)
+
+    def found(query, labels):
+        pool = {u: name for u, (name, x) in things.items() if not labels or set(x) & set(labels)}
+        terms, out = set(query.split()), {}
+        for u, name in pool.items():
+            if named(query, name) > 0:
+                out[u] = named(query, name)
+            if terms <= set(name.split()):  # every term: Okapi over the pool, three at most
+                mean = sum(len(set(x.split())) for x in pool.values()) / len(pool)
+                idf = [math.log(1 + (len(pool) - d + 0.5) / (d + 0.5)) for d in (sum(t in x.split() for x in pool.values()) for t in terms)]
+                bm = sum(i * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(set(name.split())) / mean)) for i in idf)
+                out[u] = max(out.get(u, 0), named(query, name) + min(3.0, round(bm, 6)))
+        return {u: round(s, 6) for u, s in out.items()}
+
+    for labels in (["PRODUCT"], ["BRAND", "CATEGORY"]):
+        got = {(r.qid, r.id): r.score for r in channels.entities(n, asked, 10, labels).collect()}
+        assert got == pytest.approx({(q, u): s for q, t in queries.items() for u, s in found(t, labels).items()}, abs=2e-6)
+    got = {(r.qid, r.id): r.score for r in channels.communities(n, e, model.adjacency(e), asked, ["BRAND", "CATEGORY"], 10).collect()}
+    members, degree = {"h1": ["p1", "p2", "p4"], "h2": ["p1", "p3"], "h3": ["p4"]}, {"h1": 3, "h2": 2, "h3": 1}
+    want = {}
+    for q, text in queries.items():
+        hubs = found(text, ["BRAND", "CATEGORY"])
+        kinds = {things[h][1][0] for h in hubs}
+        best, of = {}, {}
+        for h, s in hubs.items():
+            for m in members[h]:
+                tokens = [t for t in dict.fromkeys(re.findall("[a-z0-9]{3,}", text)) if t != text]
+                share = sum(t in things[m][0] for t in tokens) / len(tokens) if tokens else 0.0
+                best[m] = max(best.get(m, 0.0), round(s / math.log2(2 + degree[h]) * (1 + share), 6))
+                of.setdefault(m, set()).add(things[h][1][0])
+        common = {m for m in best if of[m] == kinds}
+        want |= {(q, m): s for m, s in best.items() if not common or m in common}
+    assert got == pytest.approx(want, abs=2e-6) and any(q == "q1" for q, _ in want)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stash, text_bytes, with_least, with_one, with_text
+from .common import give_back, slices, small_batches, stash, text_bytes, with_least, with_one, with_text
 
 BANDS, ROWS = 25, 5
 #: Bytes of text hashed at once.
@@ -172,6 +172,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ],
                     ["doc_id", "text_key", "n_shingles", "set_key", "bands"],
                 )
+        give_back()
 
     rows = with_text(docs).withColumn("text_key", text_key(F.col("text")))
     return small_batches(rows).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
@@ -207,6 +208,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for part in slices(batch, "text", PIECE):
                 sets = [s.tobytes() for s in shingle_sets(*text_bytes(part.column(1)))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "members"])
+        give_back()
 
     rows = with_text(docs).filter("doc_id is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
     return small_batches(rows).mapInArrow(run, "id long, members binary")

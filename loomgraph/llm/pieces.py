@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, small_batches, texts, with_text
+from .common import give_back, slices, small_batches, texts, with_text
 
 #: Encoded chunks, and pairs of pieces judged, that a worker remembers; of chunks up to twice as many.
 REMEMBERED = 200_000
@@ -235,5 +235,6 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 yield one(part)
         pieces(path).forget()
+        give_back()
 
     return small_batches(with_text(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, restored boolean")

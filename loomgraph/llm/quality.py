@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, stash, text_bytes, with_text
+from .common import give_back, slices, small_batches, stash, text_bytes, with_text
 from .near_dup import mix, word_hashes
 
 PASSAGE = 512
@@ -223,6 +223,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sam
             for part in slices(batch, "text", PIECE):
                 score = np.ones(part.num_rows) if model is None else model.score(*passages(*text_bytes(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*names, "score"])
+        give_back()
 
     rows = small_batches(docs).mapInArrow(run, schema)
     return rows.withColumn("held_out", is_held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

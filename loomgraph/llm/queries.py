@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, chat, mixing, near_dup, pieces, quality, secret_scan, syncmers, token_counts, warc
+from . import alignment, avi, bpe, chat, importance, mixing, near_dup, pieces, quality, secret_scan, syncmers, token_counts, warc
 from .common import table
 
 
@@ -57,9 +57,24 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_avi_mjpeg, op2_chat_format, op3_sentencepiece, op4_secret_scan, op5_warc, op6_mix_sources, op7_token_counts, op8_quality_mil, op9_superminhash_near_dup, op10_closed_syncmers)
+    for f in (
+        op1_avi_mjpeg, op2_chat_format, op3_sentencepiece, op4_secret_scan, op5_warc, op6_mix_sources, op7_token_counts, op8_quality_mil, op9_superminhash_near_dup, op10_closed_syncmers,
+        op11_importance_resampling, op12_bpe, op13_token_alignment,
+    )
 }
 
 _CHAT = r"""

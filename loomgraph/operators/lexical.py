@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import stems
 from ..functions.scores import okapi_idf, okapi_term
 from ..functions.text import words
+from ..sources import store
 from .ranked import top
 
 #: Query terms (rows) up to which they are broadcast to the postings; more are joined by shuffle.
@@ -24,31 +29,62 @@ def postings(docs: DataFrame) -> DataFrame:
     return terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))
 
 
+def stemmed(terms: DataFrame, analyser: str, stop: frozenset[str] | None = None) -> DataFrame:
+    """term and stem of each distinct term (term); stop words have none."""
+    stems.analyser(analyser, stop)  # an unknown name fails here
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stem = stems.analyser(analyser, stop)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(stem, batch.column(0).to_pylist()), pa.string())], ["term", "stem"])
+
+    return terms.select("term").filter("term is not null").distinct().mapInArrow(run, "term string, stem string").filter("stem is not null")
+
+
 class Index:
-    """Postings and collection figures of docs (id, text), tokenised once and stored; postings lie by the first bits of
-    their terms' hashes, so that a search reads the folders of its own terms alone."""
+    """Postings and collection figures of docs (id, text), tokenised once and stored. Postings lie by the first bits of
+    their terms' hashes, sorted by term, so that a search reads the folders of its own terms alone, and there the row
+    groups that hold them.
 
-    PARTS = 64
+    Words are stemmed once a distinct term: the table of stems meets the terms' counts, never the texts. `analyser` is
+    one of those in `functions.stems`; `stop` replaces its stop words.
+    """
 
-    def __init__(self, docs: DataFrame, path: str):
-        spark = docs.sparkSession
-        listed = docs.select("id", words(F.col("text")).alias("w")).select("id", "w", F.size(F.array_distinct("w")).alias("dl"), F.size("w").alias("tokens"))
-        listed.select("id", "w", "dl", "tokens").write.parquet(f"{path}/words")
-        listed = spark.read.parquet(f"{path}/words")
-        terms = listed.select("id", "dl", "tokens", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))
-        terms.withColumn("part", self.part(F.col("term"))).repartition("part").write.partitionBy("part").parquet(f"{path}/postings")
+    PARTS = 64
+    #: Postings of a part, about: more parts are made for more.
+    PART_ROWS = 20_000_000
+
+    def __init__(self, docs: DataFrame, path: str, analyser: str = "simple", stop: frozenset[str] | None = None):
+        spark, self.path, self.analyser, self.stop = docs.sparkSession, path, analyser, stop
+        stored = lambda df, name: (df.write.parquet(f"{path}/{name}"), spark.read.schema(df.schema).parquet(f"{path}/{name}"))[1]
+        # empty documents stay, since they count among the documents
+        listed = docs.select("id", words(F.col("text")).alias("w"))
+        if analyser == "simple" and not stop:
+            listed = stored(listed.select("id", "w", F.size(F.array_distinct("w")).alias("dl"), F.size("w").alias("tokens")), "words")
+            terms = listed.select("id", "dl", "tokens", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tokens").alias("tokens"))
+        else:
+            counts = stored(listed.select("id", F.explode_outer("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "counts")
+            self.stems = stored(stemmed(counts, analyser, stop), "stems")
+            found = counts.join(self.stems, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+            found = stored(found, "stemmed")
+            sizes = found.groupBy("id").agg(F.count("*").cast("int").alias("dl"), F.sum("tf").cast("int").alias("tokens"))
+            terms = found.join(sizes, "id").select("id", "term", "tf", "dl", "tokens")
+            listed = counts.select("id").distinct().join(sizes, "id", "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("dl", "tokens")])
         most = lambda c: F.avg(F.greatest(c, F.lit(1)))
-        listed.agg(F.count("*").alias("n"), most("dl").alias("avgdl"), most("tokens").alias("avgtokens")).write.parquet(f"{path}/collection")
+        figures = listed.agg(F.count("*").alias("n"), most("dl").alias("avgdl"), most("tokens").alias("avgtokens"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0)).alias("rows"))
+        self.collection = stored(figures, "collection")
+        self.parts = max(self.PARTS, self.collection.first().rows // self.PART_ROWS)
+        dealt = terms.withColumn("part", self.part(F.col("term"))).repartition("part").sortWithinPartitions("part", "term")
+        dealt.write.partitionBy("part").parquet(f"{path}/postings")
         schema = "id {}, term string, tf long, dl int, tokens int, part int".format(dict(docs.dtypes)["id"])
-        self.postings, self.collection = spark.read.schema(schema).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/collection")
+        self.postings = spark.read.schema(schema).parquet(f"{path}/postings")
 
-    @classmethod
-    def part(cls, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(cls.PARTS)).cast("int")
+    def part(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.parts)).cast("int")
 
     def held(self, wanted: DataFrame) -> DataFrame:
         """Postings of the wanted terms (term)."""
-        parts = [r.part for r in wanted.select(self.part(F.col("term")).alias("part")).distinct().collect()]  # PARTS at most
+        parts = [r.part for r in wanted.select(self.part(F.col("term")).alias("part")).distinct().collect()]  # `parts` at most
         return self.postings.filter(F.col("part").isin(parts)).drop("part")
 
 
@@ -58,13 +94,18 @@ def collection(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.greatest(F.size(F.array_distinct(w)), F.lit(1))).alias("avgdl"), F.avg(F.greatest(F.size(w), F.lit(1))).alias("avgtokens"))
 
 
-def bm25(docs: DataFrame | Index, queries: DataFrame, k: int | None = 10, every_term: bool = False, by_tokens: bool = False, candidates: DataFrame | None = None) -> DataFrame:
-    """qid, id, score, rk of docs (id, text, or an Index of them) for queries (qid, text).
+def bm25(docs: DataFrame | Index, queries: DataFrame, k: int | None = 10, every_term: bool = False, by_tokens: bool = False, candidates: DataFrame | None = None, analyser: str = "simple") -> DataFrame:
+    """qid, id, score, rk of docs (id, text, or an Index of them) for queries (qid, text). `analyser`: how words become
+    terms; an Index has its own.
 
     Distinct query terms against distinct-term lengths; `every_term` asks for all of them. With `by_tokens` lengths are
     token counts and a term counts as often as the query has it. `candidates` (id) restricts the hits, not the statistics.
     """
+    if analyser != "simple" and not isinstance(docs, Index):
+        docs = Index(docs, store.shared_path(docs.sparkSession, "index"), analyser)
     terms = queries.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    if isinstance(docs, Index) and (docs.analyser != "simple" or docs.stop):
+        terms = terms.join(stemmed(terms, docs.analyser, docs.stop), "term").groupBy("qid", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
     wanted = terms.select("term").distinct()
     few = wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS
     held = (docs.held(wanted) if isinstance(docs, Index) else postings(docs)).join(F.broadcast(wanted) if few else wanted, "term", "left_semi")

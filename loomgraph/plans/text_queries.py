@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text
+from ..functions import scores, stems, text
 from ..operators import dense, lexical, ranked
 from ..session import table
 from ..sources import store
@@ -75,6 +75,73 @@ def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25(lexical.Index(passages(spark, sf_dir), store.shared_path(spark, "index")), questions(spark, sf_dir))
 
 
+#: The published suffix rules for English, told once more in SQL: stems of a table `terms` (term), stop words left out.
+_ENGLISH = r"""
+stop as (select unnest(string_split('STOP', ' ')) term),
+odd as (select unnest(['skis','skies','dying','lying','tying','idly','gently','ugly','early','only','singly','sky','news','howe','atlas','cosmos','bias','andes']) term,
+  unnest(['ski','sky','die','lie','tie','idl','gentl','ugli','earli','onli','singl','sky','news','howe','atlas','cosmos','bias','andes']) stem),
+e0 as (select term, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\1Y', 'g') w from terms where length(term) > 2 and term not in (select term from stop) and term not in (select term from odd)),
+e1 as (select *, case when regexp_matches(w, '^(gener|commun|arsen)') then length(regexp_extract(w, '^(gener|commun|arsen)')) else coalesce(nullif(length(regexp_extract(w, '^[^aeiouy]*[aeiouy]+[^aeiouy]')), 0), length(w)) end r1 from e0),
+e2 as (select *, r1 + coalesce(nullif(length(regexp_extract(substr(w, r1 + 1), '^[^aeiouy]*[aeiouy]+[^aeiouy]')), 0), length(w) - r1) r2 from e1),
+a1 as (select term, r1, r2, case when w like '%sses' then left(w, length(w) - 2) when regexp_matches(w, '(ied|ies)$') then left(w, length(w) - case when length(w) > 4 then 2 else 1 end)
+  when regexp_matches(w, '(us|ss)$') then w when regexp_matches(w, '[aeiouy].+s$') then left(w, length(w) - 1) else w end w from e2),
+a2 as (select *, w in ('inning', 'outing', 'canning', 'herring', 'earring', 'proceed', 'exceed', 'succeed') kept, regexp_extract(w, '(eedly|ingly|edly|eed|ing|ed)$') suf from a1),
+a3 as (select *, left(w, length(w) - length(suf)) t from a2),
+b1 as (select term, r1, r2, kept, case when kept or suf = '' then w when suf in ('eed', 'eedly') then case when length(t) >= r1 then t || 'ee' else w end when not regexp_matches(t, '[aeiouy]') then w
+  when regexp_matches(t, '(at|bl|iz)$') then t || 'e' when regexp_matches(t, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then left(t, length(t) - 1)
+  when length(t) = r1 and regexp_matches(t, '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$') then t || 'e' else t end w from a3),
+c1 as (select term, r1, r2, kept, case when not kept and regexp_matches(w, '.[^aeiouy][yY]$') then left(w, length(w) - 1) || 'i' else w end w from b1),
+s2 as (select *, regexp_extract(w, '(ational|ization|fulness|ousness|iveness|tional|biliti|lessli|entli|ation|alism|aliti|ousli|iviti|fulli|enci|anci|abli|izer|ator|alli|bli|ogi|li)$') suf from c1),
+t2 as (select *, left(w, length(w) - length(suf)) t from s2),
+d2 as (select term, r1, r2, kept, case when kept or suf = '' or length(t) < r1 then w when suf = 'ogi' then case when t like '%l' then t || 'og' else w end when suf = 'li' then case when regexp_matches(t, '[cdeghkmnrt]$') then t else w end
+  else t || case when suf = 'tional' then 'tion' when suf in ('izer', 'ization') then 'ize' when suf in ('ational', 'ation', 'ator') then 'ate' when suf in ('alism', 'aliti', 'alli') then 'al' when suf = 'fulness' or suf = 'fulli' then 'ful'
+    when suf in ('ousli', 'ousness') then 'ous' when suf in ('iveness', 'iviti') then 'ive' when suf in ('biliti', 'bli') then 'ble' when suf = 'lessli' then 'less' when suf = 'enci' then 'ence' when suf = 'anci' then 'ance' when suf = 'abli' then 'able' when suf = 'entli' then 'ent' end end w from t2),
+s3 as (select *, regexp_extract(w, '(ational|tional|alize|icate|iciti|ative|ical|ness|ful)$') suf from d2),
+t3 as (select *, left(w, length(w) - length(suf)) t from s3),
+d3 as (select term, r1, r2, kept, case when kept or suf = '' or length(t) < r1 or (suf = 'ative' and length(t) < r2) then w else t || case suf when 'tional' then 'tion' when 'ational' then 'ate' when 'alize' then 'al' when 'icate' then 'ic' when 'iciti' then 'ic' when 'ical' then 'ic' else '' end end w from t3),
+s4 as (select *, regexp_extract(w, '(ement|ance|ence|able|ible|ment|ant|ent|ism|ate|iti|ous|ive|ize|ion|al|er|ic)$') suf from d3),
+t4 as (select *, left(w, length(w) - length(suf)) t from s4),
+d4 as (select term, r1, r2, kept, case when kept or suf = '' or length(t) < r2 or (suf = 'ion' and not regexp_matches(t, '[st]$')) then w else t end w from t4),
+d5 as (select term, case when kept then w when w like '%e' and (length(w) - 1 >= r2 or (length(w) - 1 >= r1 and not regexp_matches(left(w, length(w) - 1), '([^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$'))) then left(w, length(w) - 1)
+  when w like '%ll' and length(w) - 1 >= r2 then left(w, length(w) - 1) else w end w from d4),
+stems as (select term, replace(w, 'Y', 'y') stem from d5 union all select term, stem from odd where term in (select term from terms) and term not in (select term from stop) union all select term, term from terms where length(term) <= 2 and term not in (select term from stop))""".replace("STOP", stems.STOP["english"])
+
+_STEMMED = (
+    r"""
+raw as (select doc_id id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) term from documents),
+qraw as (select item_id qid, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) term from benchmark),
+terms as (select term from raw union select term from qraw),"""
+    + _ENGLISH
+    + """,
+post as (select id, stem term, count(*) tf from raw join stems using (term) group by 1, 2),
+len as (select id, count(*) dl, sum(tf) tokens from post group by 1),
+stats as (select (select count(*) from documents)::double n, (select sum(greatest(dl, 1)) + (select count(*) from documents) - count(*) from len)::double / (select count(*) from documents) avgdl),
+df as (select term, count(*)::double df from post group by 1),
+idf as (select term, ln(1 + (n - df + 0.5) / (df + 0.5)) idf from df, stats),
+qt as (select distinct qid, stem term from qraw join stems using (term)),"""
+    + _SCORED
+)
+
+
+@query("with" + _STEMMED + " select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from scored qualify rk <= 10")
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each question by English stems, without stop words."""
+    return bm25_lists(spark, sf_dir, analyser="english")
+
+
+@query("with" + _STEMMED + ", asked as (select qid, count(*) n from qt group by 1) select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from scored join asked using (qid) where matched = n qualify rk <= 10")
+def bm25_stemmed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold every stem of a question."""
+    return bm25_lists(spark, sf_dir, analyser="english", every_term=True)
+
+
+@query(r"with terms as (select distinct unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')) term from documents)," + _ENGLISH + " select term, stem from stems")
+def term_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: every term of the passages with its English stem."""
+    terms = passages(spark, sf_dir).select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
+    return lexical.stemmed(terms, "english")
+
+
 @query("with" + TOKENS + "," + _SCORED + ", asked as (select qid, count(*) n from qt group by 1) select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from scored join asked using (qid) where matched = n qualify rk <= 10")
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold every term."""

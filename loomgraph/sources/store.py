@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -126,29 +128,90 @@ def edges_from_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 class ReadOnlySql:
-    """Ad-hoc SQL over named tables: one statement that only reads, its rows capped, with a mark if more were there."""
+    """Ad-hoc SQL over named tables: one statement that only reads these, with built-in functions, its rows capped, with a
+    mark if more were there, and a deadline in seconds."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame]):
-        self.spark = spark
+    #: What the analysed plan may have as leaves beside the named tables: constants, ranges, references within the query.
+    LEAVES = frozenset({"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "EmptyRelation"})
+    BUILT_IN = "org.apache.spark.sql.catalyst.expressions."
+    #: Built-in functions that run any code, or tell where files lie.
+    REFUSED = frozenset({"CallMethodViaReflection", "PythonUDF", "PythonUDAF", "PythonUDTF", "ScalaUDF", "InputFileName", "InputFileBlockStart", "InputFileBlockLength", "FileSourceMetadataAttribute"})
+
+    #: Expressions with a plan of their own.
+    PLANS = frozenset({"ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"})
+
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], deadline: float = 10.0):
+        self.spark, self.deadline, self.names = spark, deadline, {n.lower() for n in tables}
         for name, df in tables.items():
             df.createOrReplaceTempView(name)
 
-    def check(self, sql: str) -> None:
-        """Asks Spark's own parser, so that comments and strings can't hide a command."""
+    def check(self, sql: str) -> DataFrame:
+        """The statement, analysed and found to read only. Spark's own parser is asked first, so that comments and strings
+        can't hide a command and nothing runs; then the analysed plan, where every name has become what it stands for."""
         plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-        nodes, todo = [], [plan]
-        while todo:
-            p = todo.pop()
-            nodes.append(p.getClass().getName())
-            todo += [p.children().apply(i) for i in range(p.children().size())]
-        bad = [n for n in nodes if ".command." in n or n.rsplit(".", 1)[-1].split("$")[0].endswith(("Command", "Statement")) or any(x in n.rsplit(".", 1)[-1] for x in ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "SetCatalog", "SetNamespace", "Replace", "Cache", "Load"))]
+        bad = [n for n in map(_kind, _tree(plan)) if n.endswith(("Command", "Statement")) or any(x in n for x in ("Insert", "Create", "Drop", "Delete", "Update", "Merge", "Alter", "Truncate", "SetCatalog", "SetNamespace", "Replace", "Cache", "Load"))]
+        bad += [n.getClass().getName() for n in _tree(plan) if ".command." in n.getClass().getName()]
         if bad:
             raise ValueError(f"only reading statements are allowed, not {bad[0].rsplit('.', 1)[-1]}")
+        rows = self.spark.sql(sql)
+        self._relations(rows._jdf.queryExecution().analyzed())
+        return rows
+
+    def _relations(self, plan) -> None:
+        if _kind(plan) == "View":
+            if not plan.isTempView() or plan.desc().identifier().table().lower() not in self.names:
+                raise ValueError(f"only the named tables may be read, not {plan.desc().identifier().unquotedString()}")
+            return
+        below = _each(plan.children())
+        if not below and _kind(plan) not in self.LEAVES:
+            raise ValueError(f"only the named tables may be read, not {_kind(plan)}")
+        for e in _each(plan.expressions()):
+            self._functions(e)
+        for p in below + _each(plan.innerChildren() if _kind(plan) == "WithCTE" else plan.children().take(0)):
+            self._relations(p)
+
+    def _functions(self, expression) -> None:
+        for e in _tree(expression):
+            name = e.getClass().getName()
+            if not name.startswith(self.BUILT_IN) or _kind(e) in self.REFUSED:
+                raise ValueError(f"only built-in functions may be called, not {_kind(e)}")
+            if _kind(e) in self.PLANS:
+                self._relations(e.plan())
 
     def run(self, sql: str, most: int = MOST) -> tuple[DataFrame, bool]:
-        self.check(sql)
-        rows = self.spark.sql(sql).limit(most + 1)
-        return rows.limit(most), rows.count() > most
+        """At most `most` rows, and whether there are more. TimeoutError past the deadline; what runs for it is stopped."""
+        rows = self.check(sql).limit(most + 1)
+        tag, spark = f"read-only-{uuid.uuid4().hex}", self.spark
+        context, began = spark.sparkContext, time.monotonic()
+        late = threading.Timer(self.deadline, context.cancelJobsWithTag, [tag])  # a session's tags are its thread's alone
+        context.addJobTag(tag)
+        late.start()
+        try:
+            found = rows.collect()  # most + 1 at most
+        except Exception as e:
+            if time.monotonic() - began >= self.deadline:
+                raise TimeoutError(f"the query took more than {self.deadline:g} seconds") from e
+            raise
+        finally:
+            late.cancel()
+            context.removeJobTag(tag)
+        return spark.createDataFrame(found[:most], rows.schema), len(found) > most
+
+
+def _kind(node) -> str:
+    return node.getClass().getName().rsplit(".", 1)[-1].split("$")[0]
+
+
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _tree(node) -> list:
+    out, todo = [], [node]
+    while todo:
+        out.append(todo.pop())
+        todo += _each(out[-1].children())
+    return out
 
 
 # -- readers

@@ -148,19 +148,20 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridges.memberships(legs)
 
 
-@query("with" + _BRIDGE + " select event_a, event_b, shared_entity, 1.0::double weight from br")
+@query("with" + _BRIDGE + " select entity shared_entity, count(*) events, (count(*) * (count(*) - 1) // 2)::bigint bridges, min(event) first, max(event) last from mem group by 1 having count(*) > 1")
 def hub_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G-BRIDGE, J16, A19: pairs of orders that share a customer or a part."""
-    return bridges.bridges(_members(spark, sf_dir)).drop("name")
+    """G-BRIDGE, J16, A19: orders that share a customer or a part, a row for all that one links."""
+    return bridges.bridge_classes(_members(spark, sf_dir)).drop("name")
 
 
-@query("with" + _BRIDGE + """, ends as (select event_a hub, event_b nbr, shared_entity from br union all select event_b, event_a, shared_entity from br)
-select hub, count(distinct nbr) neighbours, min(shared_entity) first_shared from ends group by 1""")
+@query("with" + _BRIDGE + """, ends as (select event_a hub, event_b nbr, shared_entity from br union all select event_b, event_a, shared_entity from br),
+l as (select hub, count(distinct shared_entity) entities, count(*) links from ends group by 1),
+b as (select hub, nbr, min(shared_entity) shared_entity from ends group by 1, 2)
+select hub, nbr, shared_entity, row_number() over (partition by hub order by nbr)::int rk, entities, links from b join l using (hub) qualify rk <= 3""")
 def bridge_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best bridge of each neighbour of each order."""
-    b = bridges.bridges(_members(spark, sf_dir))
-    hubs = b.select(F.col("event_a").alias("hub")).union(b.select("event_b")).distinct()
-    return bridges.bridge_neighbours(b, hubs).groupBy("hub").agg(F.count("*").alias("neighbours"), F.min("shared_entity").alias("first_shared"))
+    """The first neighbours of every order, each with its best bridge, and how many bridges there are."""
+    m = _members(spark, sf_dir)
+    return bridges.best_neighbours(m, m.select(F.col("event").alias("hub")), 3).join(bridges.hub_links(m), "hub")
 
 
 @query("""with f as (select l_partkey entity, o_orderkey hub, o_orderdate::date at_day from lineitem join orders on o_orderkey = l_orderkey)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import names as nm
 from ..functions import scores, text
-from ..operators import bridges, graph, learn, lexical, pagerank, ranked, synergy
+from ..operators import bridges, context, graph, learn, lexical, pagerank, ranked, synergy
 from ..operators.recommend import mmr
 from ..session import table
 from ..sources import store
@@ -16,6 +16,7 @@ from .catalog import query
 from .graph_queries import GRAPH, _PATHS, g
 from .ingest_queries import _members
 from .search_queries import _NAMED, _vector_graph, name_matches
+from .search_queries import names as _names
 from .text_queries import BM25, OVERLAP, TOKENS, bm25_lists, gains, overlap_lists, passages, questions, vectors
 
 _FACTS = "with" + GRAPH + "," + _PATHS + "," + _NAMED + """,
@@ -81,6 +82,37 @@ def _context_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(scored, False).unionByName(shape(more, True))
 
 
+@query("with" + BM25.replace("rk <= 10", "rk <= 24") + """, t as (select qid, id, rk, greatest(1, length(coalesce(text, '')) // 4)::bigint tokens from bm join documents d on d.doc_id = bm.id),
+u as (select *, sum(tokens) over (partition by qid order by rk, id rows unbounded preceding)::bigint used from t)
+select qid, id, rk, tokens, used from u where rk <= 16 and (used <= 4000 or rk = 1)""")
+def context_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question's best passages under a budget of tokens."""
+    hits = bm25_lists(spark, sf_dir, k=24).join(passages(spark, sf_dir).select("id", text.token_estimate(F.col("text")).alias("tokens")), "id")
+    return context.packed(hits.select("qid", "id", "rk", "tokens"), 4000).withColumn("used", F.col("used").cast("long"))
+
+
+@query()
+def context_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R23, R24, A17, G-PATH, G-TSEL, F26: contexts of product names: passages from product cards and documents under a
+    budget, asked again where they don't suffice, with facts, topics, conflicts and paths; tests hold the passes against
+    plain Python."""
+    p = table(spark, sf_dir, "part")
+    cards = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), text.product_text({"Title": F.col("p_name"), "Brand": F.col("p_brand"), "Type": F.col("p_type")}).alias("text"))
+    texts = cards.unionByName(passages(spark, sf_dir).select(F.concat(F.lit("doc:"), "id").alias("id"), "text"))
+    index = lexical.Index(texts, store.shared_path(spark, "index"), "english")
+    w = Window.partitionBy("qid").orderBy(F.desc("relevance"), "dist", "m", "r", "r2")
+    best = facts(spark, sf_dir).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= context.FACTS)
+    dated = best.join(g(spark, sf_dir)[0].select(F.col("uuid").alias("m"), "happened_at"), "m")
+    lines = dated.select("qid", "rk", F.concat_ws(" ", "n", F.lit("MADE"), "m", "r2_name", "b").alias("text"), F.col("m").alias("hub"), F.array("n", "b").alias("entities"), F.col("b").alias("entity"), F.col("happened_at").alias("at"))
+    members = p.select(F.concat(F.lit("topic:"), "p_brand").alias("topic"), F.concat_ws(" ", "p_brand", "p_name").alias("label"), F.concat(F.lit("part:"), "p_partkey").alias("session"))
+    asked = _names(spark, sf_dir)
+    seeds = lines.groupBy("qid", F.col("entity").alias("session")).agg(F.min("rk").alias("rk"))
+    topics = bridges.select_topics(asked, members, seeds, 3).select("qid", F.col("topic").alias("label"), "rk")
+    search = lambda queries: lexical.bm25(index, queries, 24)
+    rows = context.assembled(asked, search, texts, lines, topics, 2000)
+    return rows.withColumn("context_md5", F.md5("context")).withColumn("length", F.length("context").cast("long")).drop("context")
+
+
 @query(_FACTS + ", x as (select distinct qid, m from v) select qid, count(*) hubs, min(m) first_hub from x group by 1")
 def fact_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hubs of each query's facts."""

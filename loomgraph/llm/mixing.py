@@ -2,11 +2,13 @@
 
 Words are summed per source, the sources' targets follow from their weights, and every document is emitted
 floor(rate) times plus once more with the rate's fraction as probability, seeded by a hash of its id. The hash puts a
-source's documents in a random order; a document's draw is the share of its source's words that stand before its middle
-in that order. Draws made so are as random as the hashes themselves, but a source's copies come to its target within
-half of its largest document (rows of one doc_id count as one), where independent draws would scatter with the root of
-its size. Draws need no sort: words are summed by source and leading bits of the hash, the place where the draws reach
-the fraction is looked up in these sums, and only the rows of that one step, a small part, are summed hash by hash.
+source's documents on a circle, each as long as its words, in a random order; a hash of the source turns the circle. A
+document is drawn if its middle then lies in the first part of the circle, of the fraction's length: the turn alone gives
+each document exactly the fraction as probability, however many words of its source it holds, and a source's copies come
+within its largest document of the target (rows of one doc_id count as one), where independent draws would scatter with
+the root of its size. Draws need no sort: words are summed by source and leading bits of the hash, the places where the
+part begins and ends are looked up in these sums, and only the rows of these two steps, a small part, are summed hash by
+hash.
 """
 
 from __future__ import annotations
@@ -67,29 +69,38 @@ def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return stash(docs.select("doc_id", "source", size(F.col("text")).alias("size"), key.alias("hash")), "sized")
 
 
-def decided(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING) -> DataFrame:
-    """source, source_size, target, rate and `until` from `sized` rows: hashes below `until` have draws below the rate's
-    fraction."""
+def turned(source: Column, seed: int) -> Column:
+    """How far a source's circle is turned, from 0 to 1."""
+    key = F.concat(F.lit(f"{seed}:source:"), F.coalesce(F.concat(F.lit("of:"), source.cast("string")), F.lit("null")))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def decided(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
+    """source, source_size, target, rate, and `since`, `until`, `wraps` from `sized` rows: hashes from `since` up to before
+    `until` are drawn, or where the part wraps around those from `since` on and those before `until`."""
     step = F.shiftright("hash", 52 - STEP_BITS)
     steps = stash(rows.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words")), "steps")
     table = shares(steps.groupBy("source").agg(F.sum("words").alias("source_size")), weights, ceiling)
-    table = stash(table.withColumn("wanted", (F.col("rate") - F.floor("rate")) * F.col("source_size")), "shares")
-    # in each source the first step by whose end the words reach those wanted, and the words before it
+    table = table.withColumn("low", (1 - turned(F.col("source"), seed)) * F.col("source_size"))
+    table = table.withColumn("high", F.col("low") + (F.col("rate") - F.floor("rate")) * F.col("source_size"))
+    table = stash(table.withColumn("wraps", F.col("high") > F.col("source_size")), "shares")
+    ends = [F.struct(F.lit(0).alias("cut"), F.col("low").alias("wanted")), F.struct(F.lit(1).alias("cut"), F.when(F.col("wraps"), F.col("high") - F.col("source_size")).otherwise(F.col("high")).alias("wanted"))]
+    cuts = table.select("source", F.inline(F.array(*ends)))
+    # for either end of a source's part, the first step by whose end the words reach it, and the words before that step
     of = Window.partitionBy("source").orderBy("step")
     run = steps.withColumn("ends", F.sum("words").over(of)).select(F.col("source").alias("_source"), "step", "ends", (F.col("ends") - F.col("words")).alias("spent"))
-    passed = run.join(table.select("source", "wanted"), F.col("_source").eqNullSafe(F.col("source")))
-    passed = passed.filter("ends >= wanted").groupBy("source").agg(F.min(F.struct("step", "spent")).alias("at")).select(F.col("source").alias("_source"), "at.step", "at.spent")
+    passed = run.join(cuts, F.col("_source").eqNullSafe(F.col("source"))).filter("ends >= wanted")
+    passed = passed.groupBy("source", "cut", "wanted").agg(F.min(F.struct("step", "spent")).alias("at")).select(F.col("source").alias("_source"), "cut", "wanted", "at.step", "at.spent")
     inner = with_source(rows.select("source", "size", "hash", step.alias("_step")), passed, "_source", "source", F.col("hash")).filter("_step = step")
-    # there the first hash whose middle is at or past the words wanted
-    ties = inner.groupBy("source", "hash").agg(F.sum("size").alias("words"), F.first("spent").alias("spent"))
-    past = Window.partitionBy("source").orderBy("hash")
+    # there the first hash whose middle is at or past the end
+    ties = inner.groupBy("source", "cut", "wanted", "hash").agg(F.sum("size").alias("words"), F.first("spent").alias("spent"))
+    past = Window.partitionBy("source", "cut").orderBy("hash")
     middle = F.col("spent") + F.sum("words").over(past) - F.col("words") / 2
-    ties = ties.withColumn("middle", middle).select(F.col("source").alias("_source"), "hash", "middle")
-    beyond = ties.join(table.select("source", "wanted"), F.col("_source").eqNullSafe(F.col("source")))
-    first = beyond.groupBy("source").agg(F.min(F.when(F.col("middle") >= F.col("wanted"), F.col("hash"))).alias("until"), (F.max("hash") + 1).alias("after"))
-    first = first.select(F.col("source").alias("_source"), F.coalesce("until", "after").alias("until"))
-    found = table.join(first, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return stash(found.select("source", "source_size", "target", "rate", "until"), "decided")
+    beyond = ties.withColumn("middle", middle).groupBy("source", "cut").agg(F.min(F.when(F.col("middle") >= F.col("wanted"), F.col("hash"))).alias("first"), (F.max("hash") + 1).alias("after"))
+    hash_of = lambda cut: F.max(F.when(F.col("cut") == cut, F.coalesce("first", "after")))
+    found = beyond.groupBy(F.col("source").alias("_source")).agg(hash_of(0).alias("since"), hash_of(1).alias("until"))
+    found = table.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return stash(found.select("source", "source_size", "target", "rate", "since", "until", "wraps"), "decided")
 
 
 def with_source(rows: DataFrame, table: DataFrame, name: str, source: str, spread: Column) -> DataFrame:
@@ -105,8 +116,8 @@ def with_source(rows: DataFrame, table: DataFrame, name: str, source: str, sprea
 
 
 def copies(hash_: Column) -> Column:
-    whole = F.floor("rate")
-    return whole + F.when(hash_ < F.col("until"), 1).otherwise(0)
+    since, until = hash_ >= F.col("since"), hash_ < F.col("until")
+    return F.floor("rate") + F.when(F.when(F.col("wraps"), since | until).otherwise(since & until), 1).otherwise(0)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
@@ -115,7 +126,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CE
     Null and blank texts have size 0 and are copied like others. Rows without doc_id draw by their text; repeated rows
     and rows of one doc_id draw alike, as one document of all their words. An empty table gives no rows.
     """
-    table = decided(sized(docs, seed), weights, ceiling).select(F.col("source").alias("_source"), "rate", "until")
+    table = decided(sized(docs, seed), weights, ceiling, seed).select(F.col("source").alias("_source"), "rate", "since", "until", "wraps")
     nested = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
     rows = with_source(nested, table, "_source", "row.source", F.struct("row.doc_id", "row.text"))
     rows = rows.withColumn("copies", copies(hashed(F.col("row.doc_id"), F.col("row.text"), seed))).filter("copies > 0")
@@ -125,5 +136,5 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CE
 def taken(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; other columns are ignored."""
     rows = sized(docs, seed)
-    rows = with_source(rows, decided(rows, weights, ceiling).withColumnRenamed("source", "_source"), "_source", "source", F.col("hash"))
+    rows = with_source(rows, decided(rows, weights, ceiling, seed).withColumnRenamed("source", "_source"), "_source", "source", F.col("hash"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("hash"))).cast("long").alias("taken"))

@@ -108,9 +108,12 @@ with recursive sized as (
     ('0x' || substr(md5('42:' || coalesce(d.doc_id::varchar, 'text:' || coalesce(d.text, ''))), 1, 13))::bigint hash
   from sized d join shares s on d.source is not distinct from s.source
 ), drawn as (
-  select *, sum(size) over (partition by source order by hash range unbounded preceding) ends, sum(size) over (partition by source, hash) own from rated
+  select *, sum(size) over (partition by source order by hash range unbounded preceding) - sum(size) over (partition by source, hash) / 2 middle,
+    (1 - ('0x' || substr(md5('42:source:' || coalesce('of:' || source, 'null')), 1, 13))::bigint / 4503599627370496.0::double) * source_size low from rated
+), placed as (
+  select *, low + (rate - floor(rate)) * source_size high from drawn
 )
-select doc_id, size, source_size, target, (size * (floor(rate) + case when ends - own / 2 < (rate - floor(rate)) * source_size then 1 else 0 end))::bigint taken from drawn
+select doc_id, size, source_size, target, (size * (floor(rate) + case when high > source_size then (middle >= low or middle < high - source_size)::int else (middle >= low and middle < high)::int end))::bigint taken from placed
 """
 
 #: The other operators decode media, train models or go through a library's tokens; their tests compare them with

@@ -1,8 +1,7 @@
 """Secret scans: rules find candidates, a character convolutional network judges every one with its context.
 
 Three rules (assignments, access keys, long hex runs) always report. Besides them every run of 16 or more token
-characters outside their findings that isn't plain letters of one case is a candidate, which the network accepts or
-drops. The tables hold no labelled secrets, so the labelled findings are made from a seed: keys of many shapes and their
+characters outside their findings is a candidate, which the network accepts or drops. The tables hold no labelled secrets, so the labelled findings are made from a seed: keys of many shapes and their
 look-alikes (long words, paths, URLs, versions, dates, identifiers) in neutral and telling contexts. Of these an eighth is
 held out to calibrate the network's output (Platt), and another eighth to set the threshold of its spans: the highest
 that keeps RECALL of the true ones that no rule reports, those that are no candidates counted as lost. The rules' own
@@ -34,7 +33,6 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-PLAIN = re.compile(r"[.=_/+-]*(?:[A-Z]?[a-z]+|[A-Z]+)?[.=_/+-]*").fullmatch
 SHORTEST = 16
 
 BEFORE, INSIDE, AFTER = 20, 40, 12
@@ -62,17 +60,22 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 def more_candidates(text: str, base: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int]]:
     """Runs of SHORTEST or more token characters outside the rules' findings; of a run that findings touch, the rest."""
-    out = []
+    out, first = [], 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        for s, _, e, _, _ in base:  # in order; findings may overlap
-            if s < b and a < e:
+        while first < len(base) and base[first][2] <= a:  # both in order, so that each is walked once
+            first += 1
+        for k in range(first, len(base)):
+            s, _, e, _, _ = base[k]  # findings may overlap
+            if s >= b:
+                break
+            if a < e:
                 if s - a >= SHORTEST:
                     out.append((a, s))
                 a = e
         if b - a >= SHORTEST:
             out.append((a, b))
-    return [(a, b) for a, b in out if not PLAIN(text, a, b)]
+    return out
 
 
 def slides(a: int, b: int) -> list[tuple[int, int]]:
@@ -298,9 +301,10 @@ def redacted(docs: DataFrame) -> DataFrame:
     """`docs` with each secret's value in `text` replaced, and n_chars, if there, counted anew; a null text stays null."""
     net = trained()
     names, kinds = docs.columns, docs.schema
+    low = [n.lower() for n in names]  # as Spark resolves them
+    at = low.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = batch.schema.get_field_index("text")
         rows = batch.column(at).to_pylist()
         out = []
         for text, found in zip(rows, found_in([t or "" for t in rows], net), strict=True):
@@ -312,9 +316,9 @@ def redacted(docs: DataFrame) -> DataFrame:
                     parts += [text[end:a], REDACTED]
                 end = b
             out.append("".join([*parts, text[end:]]) if end else text)
-        columns = [pa.array(out, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in out], batch.column(i).type) if n == "n_chars" else batch.column(i) for i, n in enumerate(names)]
+        columns = [pa.array(out, pa.string()) if n == "text" else pa.array([None if t is None else len(t) for t in out], batch.column(i).type) if n == "n_chars" else batch.column(i) for i, n in enumerate(low)]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return in_arrow(docs, run, kinds, most=1 << 20)
+    return in_arrow(docs, run, kinds, names[at], most=1 << 20)
 
 

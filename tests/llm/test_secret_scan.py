@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 from loomgraph.llm import secret_scan as ss
@@ -86,7 +87,8 @@ def candidates(text):
 
 def test_candidates_of_both_cases_and_beside_findings():
     assert candidates("QwErTyUiOpAsDfGhJkLz and AbCdEfGhIjKlMnOpQr==") == ["QwErTyUiOpAsDfGhJkLz", "AbCdEfGhIjKlMnOpQr=="]
-    assert candidates("internationalisation INTERNATIONALISATION Internationalisation. ----------------------") == []
+    every = ["internationalisation", "INTERNATIONALISATION", "Internationalisation.", "----------------------"]
+    assert candidates(" ".join(every)) == every and ss.found_in(every, ss.trained()) == [[]] * 4
     rest = "/" + KEY * 2
     assert candidates("AKIA" + "ABCDEFGH12345678" + rest) == [rest]
     assert candidates("x9" * 10 + "_" + "0123456789abcdef01234567" + "Kq9" + KEY) == ["x9" * 10 + "_", "Kq9" + KEY]
@@ -102,6 +104,39 @@ def test_recall_of_keys_without_digits_as_a_scan_finds_them():
     assert np.mean([p is None or p >= net.threshold for p in ss.candidate_scores(rows, net)]) > 0.95
 
 
+def test_candidates_are_all_runs_outside_the_findings():
+    """By brute force, character by character, findings of any kind and overlap between."""
+    rng = random.Random(8)
+    parts = ["a" * 15, "Q" * 16, "x1" * 9, "0123456789abcdef" * 2, "AKIA" + "ABCDEFGH12345678" * 2, "token=", "password: ", "secret=abcdef", " ", "\n", "é", "/", "deadbeef" * 4, '"']
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        base, want, at = ss.base_spans(text), [], 0
+        free = [c.isascii() and (c.isalnum() or c in "+/_.=-") and not any(s <= i < e for s, _, e, *_ in base) for i, c in enumerate(text)]
+        while at < len(text):
+            to = at
+            while to < len(text) and free[to]:
+                to += 1
+            if to - at >= ss.SHORTEST:
+                want.append((at, to))
+            at = max(to, at + 1)
+        assert ss.more_candidates(text, base) == want, text
+
+
+def test_many_findings_take_linear_time():
+    text = "\n".join(f"{i:032x}" for i in range(200_000))
+    began = time.process_time()
+    assert ss.more_candidates(text, ss.base_spans(text)) == []
+    assert time.process_time() - began < 20
+
+
+def test_recall_of_keys_of_one_case():
+    """None of them was labelled."""
+    rng = np.random.default_rng(12)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 0.8), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 0.95)):
+        keys = ["".join(rng.choice(list(letters), 24)) for _ in range(300)]
+        assert np.mean([len(f) == 1 for f in ss.found_in([f"the value {k} stands alone" for k in keys], ss.trained())]) > least
+
+
 def test_every_character_of_a_long_run_is_judged(spark):
     rng, letters = np.random.default_rng(3), np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
     path, names = "docs/guides/setup/install/linux/readme", "name.of.a.long.module.path.with.parts"

@@ -17,7 +17,8 @@ from loomgraph.llm.common import stash, table
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: documents that the classifier, fitted on `labels`, rejects go."""
     free = "_" * (1 + max(map(len, docs.columns)))  # no column is called like the operator's own then
-    spare = {c: free + c for c in docs.columns if c in ("held_out", "score", "predicted")}
+    spare = {c: free + c for c in docs.columns if c.lower() in ("held_out", "score", "predicted")}
+    spare |= {c: c.lower() for c in docs.columns if c.lower() in ("doc_id", "text")}
     rows = quality.scored(docs.withColumnsRenamed(spare), table(spark, sf_dir, "labels")).filter("predicted = 1")
     return rows.select(*[F.col(spare.get(c, c)).alias(c) for c in docs.columns])
 

@@ -301,6 +301,16 @@ def cosine_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.approximate(v, v.filter("id % 50 = 0").withColumnRenamed("id", "qid"), 10)
 
 
+@query()
+def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index, some of whose rows were written anew; tests hold its recall before and after
+    inserts, deletes and splits."""
+    v = vectors(spark, sf_dir)
+    index = dense.VectorIndex.built(v.select("id", "embedding"), store.shared_path(spark, "vectors"))
+    index.insert(v.join(F.broadcast(v.agg(F.min("label").alias("label"))), "label").select("id", "embedding"))
+    return index.search(v.filter("id % 50 = 0").select(F.col("id").alias("qid"), "embedding"), 10)
+
+
 @query("with" + _COS + " select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from pairs qualify rk <= 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten nearest of each vector, exactly."""

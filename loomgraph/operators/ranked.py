@@ -143,3 +143,30 @@ def picked(rows: DataFrame, done: DataFrame | None, key: str, state: dict[str, C
         left = left.join(done.select(key, "id"), [key, "id"], "left_anti").join(done.groupBy(key).agg(*[c.alias(n) for n, c in state.items()]), key, "left")
     best = left.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("b")).filter("b is not null").select("b.*").withColumn("turn", F.lit(turn))
     return write(best if done is None else done.unionByName(best))
+
+
+def kendall(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """key, tau, pairs: Kendall's tau-b of each key's rows (key, x, y), null where all are tied in x or in y.
+
+    Pairs that are out of order are counted bit by bit, in n log n: two ranks differ at some highest bit, so at each bit,
+    among rows whose higher bits agree, every row with the bit off counts those before it with the bit on. Rows are
+    counted within blocks of places, and blocks against blocks by their sums, so one key may have many rows.
+    """
+    rows = rows.filter("x is not null and y is not null").select("key", "x", "y")
+    ties = lambda *by: rows.groupBy("key", *by).agg(F.count("*").alias("n")).groupBy("key").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("t"))
+    place = rows.select("key", (F.row_number().over(Window.partitionBy("key").orderBy("x", "y")) - 1).alias("at"), (F.dense_rank().over(Window.partitionBy("key").orderBy("y")) - 1).alias("rank"))
+    bits = rows.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.log2(F.countDistinct("y")))).cast("int").alias("bits"))
+    each = place.join(bits, "key").select("key", "at", "rank", F.explode(F.sequence(F.lit(0), F.col("bits") - 1)).alias("level"))
+    each = each.select("key", "at", "level", F.expr("shiftright(rank, level + 1)").alias("high"), F.expr("shiftright(rank, level) & 1").alias("bit"), F.floor(F.col("at") / block).alias("block"))
+    within = Window.partitionBy("key", "level", "high", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    near = each.withColumn("on", F.coalesce(F.sum("bit").over(within), F.lit(0))).filter("bit = 0").groupBy("key").agg(F.sum("on").alias("d"))
+    sums = each.groupBy("key", "level", "high", "block").agg(F.sum("bit").alias("on"), F.count_if(F.col("bit") == 0).alias("off"))
+    before = Window.partitionBy("key", "level", "high").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    far = sums.withColumn("on", F.coalesce(F.sum("on").over(before), F.lit(0))).groupBy("key").agg(F.sum(F.col("on") * F.col("off")).alias("d"))
+    wrong = near.union(far).groupBy("key").agg(F.sum("d").alias("wrong"))
+    out = ties().withColumnRenamed("t", "n0").join(wrong, "key", "left")
+    for name, by in (("n1", ["x"]), ("n2", ["y"]), ("n3", ["x", "y"])):
+        out = out.join(ties(*by).withColumnRenamed("t", name), "key")
+    right = F.expr("n0 - n1 - n2 + n3 - 2 * coalesce(wrong, 0)")
+    scale = F.sqrt((F.col("n0") - F.col("n1")).cast("double") * (F.col("n0") - F.col("n2")))
+    return out.select("key", F.when(scale > 0, right / scale).alias("tau"), F.col("n0").alias("pairs"))

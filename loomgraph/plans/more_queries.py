@@ -204,6 +204,15 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.maxsim(first, v.select("id", "embedding"))
 
 
+@query("""with t as (select vec_id // 5 id, vec_id token, embedding::double[] v from embeddings),
+s as (select q.id qid, q.token, d.id, max(list_cosine_similarity(q.v, d.v)) m from t q join t d on q.id % 10 = 0 group by 1, 2, 3), d as (select qid, id, round(sum(m), 6) score from s group by 1, 2)
+select qid, id, score, row_number() over (partition by qid order by score desc, id)::int rk from d qualify rk <= 5""")
+def late_interaction_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents by MaxSim, each of five tokens, for every tenth document; bounds from lists, no cross join."""
+    tokens = vectors(spark, sf_dir).select(F.expr("id div 5").alias("id"), "embedding")
+    return learn.late_interaction(tokens.filter("id % 10 = 0").withColumnRenamed("id", "qid"), tokens, 5)
+
+
 @query()
 def best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beams of three hops in the nearest-vector graph, worth by cosine."""

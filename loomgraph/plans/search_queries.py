@@ -167,13 +167,10 @@ def ability_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with r as (select user_id, event_type, row_number() over (partition by user_id order by ts, event_id) x, value y from events), p as (select a.user_id, sum(sign(b.x - a.x) * sign(b.y - a.y)) s, sum(case when a.y = b.y then 1 else 0 end) ty, count(*) n from r a join r b on a.user_id = b.user_id and a.x < b.x group by 1)
 select user_id, round((s / sqrt(n::double * (n - ty)) + 1) / 2, 6) score from p where n > ty""")
 def ordering_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kendall's tau-b of two orders, rescaled to 0..1. A user's events pair up by an equi-join."""
+    """Kendall's tau-b of two orders, rescaled to 0..1, by counts of inversions."""
     e = table(spark, sf_dir, "events")
-    r = e.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("x"), F.col("value").alias("y"))
-    a, b = r.alias("a"), r.alias("b")
-    pairs = a.join(b, (F.col("a.user_id") == F.col("b.user_id")) & (F.col("a.x") < F.col("b.x"))).select("a.user_id", F.col("a.y").alias("y1"), F.col("b.y").alias("y2"))
-    c = pairs.groupBy("user_id").agg(F.sum(F.signum(F.col("y2") - F.col("y1"))).alias("s"), F.count_if(F.col("y1") == F.col("y2")).alias("t"), F.count("*").alias("n")).filter("n > t")
-    return c.select("user_id", F.round((F.col("s") / F.sqrt(F.col("n").cast("double") * (F.col("n") - F.col("t"))) + 1) / 2, 6).alias("score"))
+    r = e.select(F.col("user_id").alias("key"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("x"), F.col("value").alias("y"))
+    return ranked.kendall(r).filter("tau is not null").select(F.col("key").alias("user_id"), F.round((F.col("tau") + 1) / 2, 6).alias("score"))
 
 
 @query("""select window_start, event_type, count(*) n, round(sum(value), 6) total from (select time_bucket(interval 1 day, ts) window_start, event_type, value from events) group by 1, 2""")

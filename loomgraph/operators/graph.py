@@ -30,10 +30,20 @@ def neighbours(adj: DataFrame, nodes: DataFrame, origins: DataFrame, labels: lis
     return rows.orderBy("pos", "edge", "direction").limit(limit) if limit else rows
 
 
-def event_paths(edge_rows: DataFrame, hubs: DataFrame | None = None, starts: DataFrame | None = None) -> DataFrame:
+def event_paths(edge_rows: DataFrame, hubs: DataFrame | None = None, starts: DataFrame | None = None, history: bool = False) -> DataFrame:
     """Five-tuples n -r- m -r2- b: two different edges at m that share a flow key, in any direction. A path may end
-    where it began. `hubs` (uuid) restricts m, `starts` (uuid) restricts n."""
-    adj = adjacency(edge_rows.filter("coalesce(flow_key, '') <> ''"), loops_twice=True).filter("valid")
+    where it began. `hubs` (uuid) restricts m, `starts` (uuid) restricts n. Both legs have to be valid, unless `history` is
+    asked for; then the column `current` tells whether they are."""
+    adj = adjacency(edge_rows.filter("coalesce(flow_key, '') <> ''"), loops_twice=True)
+    if history:
+        legs = adj.select("origin", F.col("edge").alias("r"), F.col("nbr").alias("m"), F.col("name").alias("r_name"), "flow_key", "valid")
+        if starts is not None:
+            legs = legs.join(starts.select(F.col("uuid").alias("origin")).distinct(), "origin", "left_semi")
+        if hubs is not None:
+            legs = legs.join(hubs.select(F.col("uuid").alias("m")).distinct(), "m", "left_semi")
+        ends = adj.select(F.col("origin").alias("m"), F.col("edge").alias("r2"), F.col("name").alias("r2_name"), F.col("nbr").alias("b"), F.col("direction").alias("r2_direction"), "flow_key", F.col("valid").alias("valid2"))
+        return legs.withColumnRenamed("origin", "n").join(ends, ["m", "flow_key"]).filter("r <> r2").withColumn("current", F.col("valid") & F.col("valid2")).drop("valid", "valid2")
+    adj = adj.filter("valid")
     one = adj.select(F.col("origin").alias("n"), F.col("edge").alias("r"), F.col("name").alias("r_name"), F.col("nbr").alias("m"), "flow_key")
     two = adj.select(F.col("origin").alias("m"), F.col("edge").alias("r2"), F.col("name").alias("r2_name"), F.col("nbr").alias("b"), F.col("direction").alias("r2_direction"), "flow_key")
     if hubs is not None:
@@ -44,6 +54,12 @@ def event_paths(edge_rows: DataFrame, hubs: DataFrame | None = None, starts: Dat
     return one.join(two, ["m", "flow_key"]).filter("r <> r2")
 
 
+def tuples_of(edge_rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The five-tuples that begin at each query's seeds (qid, uuid)."""
+    paths = event_paths(edge_rows, starts=seeds.select("uuid").distinct())
+    return seeds.select("qid", F.col("uuid").alias("n")).distinct().join(paths, "n")
+
+
 def nexts(edge_rows: DataFrame, leg: str) -> DataFrame:
     """The outgoing second legs of paths that begin with the edge `leg`."""
     first = edge_rows.filter(F.col("uuid") == leg)

@@ -54,7 +54,7 @@ flow as (select src origin, dst nbr, uuid edge, 'out' direction, flow_key from e
 paths as (select a.origin n, a.edge r, a.nbr m, b.edge r2, b.nbr b, b.direction d2 from flow a join flow b on a.nbr = b.origin and a.flow_key = b.flow_key and a.edge <> b.edge)"""
 
 
-@query("with" + GRAPH + "," + _PATHS + " select n, r, m, r2, b from paths where n like 'user:%'")
+@query("with" + GRAPH + "," + _PATHS.split("paths as")[0] + " begun as (select * from flow where origin like 'user:%') select a.origin n, a.edge r, a.nbr m, b.edge r2, b.nbr b from begun a join flow b on a.nbr = b.origin and a.flow_key = b.flow_key and a.edge <> b.edge")
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow-keyed five-tuples that begin at users."""
     n, e = g(spark, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, ingest_queries, more_queries, search_queries, stream_queries, text_queries  # noqa: F401  they register their queries
+from . import graph_queries, ingest_queries, more_queries, row_queries, search_queries, stream_queries, text_queries  # noqa: F401  they register their queries
 from .catalog import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -167,6 +167,29 @@ def pagerank_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagerank.pagerank(own.union(down).union(up), None, written).select("uuid", F.round("mass", 6).alias("mass"))
 
 
+_PUSH_EDGES = GRAPH + """,
+ways as (select src, dst, case name when 'HAS' then 0.55 else 1.0 end::double w from edges where valid union all select dst, src, case name when 'HAS' then 0.55 else 1.0 end from edges where valid),
+e1 as materialized (select src, dst, max(w) w from ways group by 1, 2), outs as (select src, sum(w) total from e1 group by 1), links as materialized (select src, dst, w / total p from e1 join outs using (src)),
+seed as (select c_mktsegment qid, 'user:' || c_custkey uuid, 1.0::double / count(*) over (partition by c_mktsegment) jump from (select *, row_number() over (partition by c_mktsegment order by c_acctbal desc, c_custkey) r from customer) where r <= 2),
+r0 as (select qid, uuid, jump mass from seed)"""
+
+
+def _push(i: int) -> str:
+    return f""", r{i} as materialized (select qid, uuid, sum(mass) mass from (select qid, dst uuid, 0.85 * mass * p mass from r{i - 1} join links on src = uuid union all select qid, uuid, 0.15 * jump from seed) group by 1, 2)"""
+
+
+@query("with" + _PUSH_EDGES + "".join(_push(i) for i in range(1, 21)) + " select qid, uuid, round(mass, 6) mass, row_number() over (partition by qid order by round(mass, 6) desc, uuid)::int rk from r20 qualify rk <= 30")
+def local_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G-PPR, W9: the nodes with most mass around the two richest customers of each market segment, pushed from these."""
+    _, e = g(spark, sf_dir)
+    w = F.when(F.col("name") == "HAS", 0.55).otherwise(1.0)
+    ways = model.adjacency(e).filter("valid").select(F.col("origin").alias("src"), F.col("nbr").alias("dst"), w.alias("w")).groupBy("src", "dst").agg(F.max("w").alias("w"))
+    rich = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"), "c_custkey")
+    seeds = table(spark, sf_dir, "customer").withColumn("r", F.row_number().over(rich)).filter("r <= 2").select(F.col("c_mktsegment").alias("qid"), F.concat(F.lit("user:"), "c_custkey").alias("uuid"), F.lit(1.0).alias("weight"))
+    rows = pagerank.pushed(ways, seeds, written, least=1e-10)
+    return ranked.top(rows.select("qid", "uuid", F.round("mass", 6).alias("mass")), 30, ["qid"], score="mass", tie="uuid")
+
+
 @query("with" + GRAPH + "," + _PATHS + """, w as (select n, m, b, 1.0 w1, 0.35 w2 from paths where n like 'user:%'),
 e as (select n src, m dst, w1 w from w union all select m, n, w1 from w union all select m, b, w2 from w union all select b, m, w2 from w union all select n, b, 0.5 * least(w1, w2) from w union all select b, n, 0.5 * least(w1, w2) from w)
 select src, dst, max(w)::double w from e group by 1, 2""")

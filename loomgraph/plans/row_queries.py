@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import bridges, channels, dense, graph, ingest, learn
+from ..model import adjacency, currently_valid
+from ..operators import bridges, channels, context, dense, graph, ingest, learn
 from ..session import table
 from ..sources import store
 from .catalog import query
@@ -52,6 +53,28 @@ def semantic_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.tuples_of(e, near.select("qid", F.concat(F.lit("part:"), "id").alias("uuid"))).select("qid", "n", "r", "m", "r2", "b")
 
 
+_NEAR = """, q as (select p_partkey qid, p_name as body from part where p_partkey % 50 = 0),
+c as (select a.vec_id qid, b.vec_id id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) score from embeddings a, embeddings b where a.vec_id in (select qid from q) and b.vec_id in (select p_partkey from part)),
+near as (select qid, id from c qualify row_number() over (partition by qid order by score desc, id) <= 5)"""
+
+
+@query("with" + GRAPH + _NEAR + """ select qid, 'text' how, 'part:' || p_partkey id, null edge, null nbr from q join part on contains(lower(p_name || ' ' || p_type), lower(body))
+union all select qid, 'vector', 'part:' || id, null, null from near
+union all select distinct qid, 'node', 'part:' || id, edge, nbr from near join adj on origin = 'part:' || id and name = 'HAS' join nodes on uuid = nbr and label = 'BRAND'""")
+def legacy_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards that contain a part's name or whose vectors are near to its own, and the brands of these parts."""
+    n, e = g(spark, sf_dir)
+    p, v = table(spark, sf_dir, "part"), vectors(spark, sf_dir).select("id", "embedding")
+    cards = p.select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    asked = p.filter("p_partkey % 50 = 0").select(F.col("p_partkey").cast("long").alias("qid"), F.col("p_name").alias("text"))
+    goods = p.select(F.col("p_partkey").cast("long").alias("id"))
+    near = dense.nearest(v.join(goods, "id", "left_semi"), v.withColumnRenamed("id", "qid").join(asked, "qid", "left_semi"), 5).select("qid", F.concat(F.lit("part:"), "id").alias("id"))
+    triples = near.select("qid", F.col("id").alias("node"), F.lit("HAS").alias("name"))
+    data, related = context.retrieved(asked, cards, near, triples, n, adjacency(e), ["brand"])
+    none = F.lit(None).cast("string")
+    return data.select("qid", "how", "id", none.alias("edge"), none.alias("nbr")).unionByName(related.select("qid", F.lit("node").alias("how"), F.col("node").alias("id"), "edge", "nbr"))
+
+
 @query("""with t as (select event_id, case when event_id % 11 = 0 then ' ' else 'user ' || user_id end s, case when event_id % 7 = 0 then null else 'USER' end st, case when event_id % 13 = 0 then '' else event_type end p, case when event_id % 17 = 0 then 'USER ' || user_id else 'k ' || (props->>'k') end o, case when event_id % 17 = 0 then 'user' else 'KEY' end ot, value / 100 score from events)
 select event_id, case when trim(s) = '' or trim(o) = '' then 'missing_name' when coalesce(st, '') = '' or ot = '' then 'missing_type' when p = '' then 'missing_predicate' when lower(s) = lower(o) and lower(st) = lower(ot) then 'same_ends' when score < 0.15 then 'ungrounded' when score < 0.45 then 'ambiguous' else 'accepted' end reason from t""")
 def triple_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,8 +168,6 @@ def gain_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with" + GRAPH + " select uuid, name, not valid or uuid in (select 'made:' || o_orderkey from orders where o_orderstatus = 'F') gone from edges where name <> 'HAS'")
 def deprecated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legs of finished orders are flagged and stay; with those that have ended they aren't valid any more."""
-    from ..model import currently_valid
-
     _, e = g(spark, sf_dir)
     finished = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("made:"), "o_orderkey").alias("uuid"))
     return ingest.deprecated(e.filter("name <> 'HAS'"), finished).select("uuid", "name", (~currently_valid()).alias("gone"))

@@ -64,8 +64,9 @@ def test_run_by_brute_force(spark, data):
     for s, own in members.items():
         rate = min(want[s] / sums[s], 3.0) if sums[s] else 0.0
         before, wanted = 0, (rate - math.floor(rate)) * sums[s]
+        turn = int(hashlib.md5(f"42:source:{'null' if s is None else f'of:{s}'}".encode()).hexdigest()[:13], 16) / 2**52
         for _, i in sorted(own):
-            copies[i] = math.floor(rate) + (before + size[i] / 2 < wanted)
+            copies[i] = math.floor(rate) + (bool(sums[s]) and (before + size[i] / 2 + turn * sums[s]) % sums[s] < wanted)
             before += size[i]
     library = sentencepiece.SentencePieceProcessor(model_file=corpus_pipeline.public_tokenizers.path("piece_bpe_32k.model"))
     expected = Counter({(i, tuple(library.encode(texts[i]))): n for i, n in copies.items() if n})
@@ -86,3 +87,16 @@ def test_no_rows_long_texts_and_clashing_names(spark, data):
                 assert seen.columns == rows.columns
                 assert all(r[n] in (f"{n} {r.doc_id}", f"{n} x") for r in seen.select("doc_id", *names).collect() for n in names)
         assert seen.count() >= least
+
+
+def test_columns_of_any_case_pass(spark, data):
+    """Names as Spark resolves them, not as they are written."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    odd = docs.selectExpr("doc_id as DOC_ID", "text as Text", "lang", "source", "n_chars as N_Chars", "'keep me' as Score", "7 as Predicted", "true as HELD_OUT")
+    want = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, data).collect()}
+    out = corpus_pipeline.keep_quality(spark, odd, data)
+    assert out.columns == odd.columns and {r.DOC_ID for r in out.collect()} == want
+    assert all((r.Score, r.Predicted, r.HELD_OUT) == ("keep me", 7, True) for r in out.collect())
+    texts = {r.doc_id: (r.text, r.n_chars) for r in secret_scan.redacted(docs).collect()}
+    got = secret_scan.redacted(odd)
+    assert got.columns == odd.columns and {r.DOC_ID: (r.Text, r.N_Chars) for r in got.collect()} == texts

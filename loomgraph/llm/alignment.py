@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over each document.
 
-Python tokenises, and that is all it does: it gives ids and the byte offsets where tokens end. Groups and links are
-Spark's higher-order functions: the ends that both arrays hold cut groups; all ends, sorted, cut the text into cells,
-and each cell is one link, since two tokens overlap in one range at most. Texts are tokenised in windows that are cut
-where both tokenizers end, so no array follows the longest text.
+Python tokenises: it gives ids and where tokens end. All ends of either tokenizer cut the text into cells, and an end is
+told as the number of its cell and whether the other tokenizer ends there, too. Groups and links are Spark's higher-order
+functions over these: ends of both cut groups, and each cell is one link, since two tokens overlap in one range at most.
+Texts are tokenised in windows that are cut where both tokenizers end, so no array follows the longest text.
 
 How often a pair of ids is linked is counted over the corpus, a document once. The most frequent pairs, a bounded
 number, are broadcast to the links; the rest, which no document-heavy key is among, are joined by shuffle.
@@ -37,7 +37,7 @@ BROADCAST = 1_000_000
 BYTE, UNKNOWN, CONTROL = 6, 2, 3
 
 _IDS = T.ArrayType(T.IntegerType(), False)
-TOKENS = T.StructType([T.StructField(n, t) for n, t in (("row", T.LongType()), ("doc_id", T.LongType()), ("part", T.IntegerType()), ("parts", T.IntegerType()), ("a", _IDS), ("a_ends", _IDS), ("b", _IDS), ("b_ends", _IDS))])
+TOKENS = T.StructType([T.StructField(n, t) for n, t in (("row", T.LongType()), ("doc_id", T.LongType()), ("part", T.IntegerType()), ("parts", T.IntegerType()), ("a", _IDS), ("a_marks", _IDS), ("b", _IDS), ("b_marks", _IDS))])
 
 
 class Both:
@@ -75,10 +75,11 @@ class Both:
             at = found.end()
         yield text[at:]
 
-    def a_ids(self, text: str) -> list[int]:
+    def a_ids(self, text: str) -> list[int] | np.ndarray:
+        """An array from the fast way, whose tokens are always the text's bytes."""
         if self.fast is None or (not text.isascii() and self.bpe.unassigned(text)):
             return self.bpe.encode(text)
-        return self.fast.encode_ordinary(text)
+        return self.fast.encode_to_numpy(text, disallowed_special=())
 
     def tokens(self, text: str, size: int = WINDOW) -> list[tuple[np.ndarray, ...]]:
         """a, a_ends, b, b_ends of each window; nothing if the tokens' bytes aren't the text's."""
@@ -88,9 +89,9 @@ class Both:
         for window in self.windows(text, size):
             spaced = " " + window
             a, b, data = self.a_ids(spaced), self.pieces.encode(window) if window else self._blank(), spaced.encode()
-            if b"".join(map(self.b_strings.__getitem__, b)) != data or b"".join(map(self.bpe.strings.__getitem__, a)) != data:
+            if b"".join(map(self.b_strings.__getitem__, b)) != data or (isinstance(a, list) and b"".join(map(self.bpe.strings.__getitem__, a)) != data):
                 return []
-            a_, b_ = np.array(a, np.int32), np.array(b, np.int32)
+            a_, b_ = np.asarray(a).astype(np.int32), np.array(b, np.int32)
             out.append((a_, np.cumsum(self.a_lengths[a_], dtype=np.int32), b_, np.cumsum(self.b_lengths[b_], dtype=np.int32)))
         return out
 
@@ -99,6 +100,15 @@ class Both:
         return [self.pieces.piece_to_id("▁")]
 
 
+def marked(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """a, a_marks, b, b_marks: each end as its cell's number, from 1, times 4, and 1 if a ends there, 2 if b does."""
+    bits = np.zeros(max(a_ends[-1:].tolist() + b_ends[-1:].tolist(), default=0) + 1, np.int32)
+    bits[a_ends] |= 1
+    bits[b_ends] |= 2
+    marks = np.cumsum(bits > 0, dtype=np.int32) * 4 + bits
+    return a, marks[a_ends], b, marks[b_ends]
+
+
 @lru_cache(2)
 def both(a_path: str, b_path: str) -> Both:
     return Both(a_path, b_path)
@@ -114,7 +124,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, window: int = WINDOW) -
             parts = [r[4][k] for r in rows]
             off = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts))))
-        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "part", "parts", "a", "a_ends", "b", "b_ends"])
+        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "part", "parts", "a", "a_marks", "b", "b_marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, rows, held = both(a_path, b_path), [], 0
@@ -123,7 +133,7 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, window: int = WINDOW) -
                 for i in range(part.num_rows):
                     windows = tokenizers.tokens(part.column(1)[i].as_py() or "", window) or [none]
                     for k, w in enumerate(windows):
-                        rows.append((part.column(2)[i].as_py(), part.column(0)[i].as_py(), k, len(windows), w))
+                        rows.append((part.column(2)[i].as_py(), part.column(0)[i].as_py(), k, len(windows), marked(*w)))
                         held += len(w[0]) + len(w[2])
                         if held > SENT:
                             yield sent(rows)
@@ -135,11 +145,6 @@ def tokenised(docs: DataFrame, a_path: str, b_path: str, window: int = WINDOW) -
     return small_batches(with_text(docs).withColumn("row", F.monotonically_increasing_id())).mapInArrow(run, TOKENS)
 
 
-def _marks(bit: int) -> Column:
-    """The cells at which a tokenizer's tokens end, one a token: the cell's number, from 1, times 4 and its bits."""
-    return F.array_compact(F.transform("cells", lambda c, i: F.when(c.bitwiseAND(F.lit(bit)) > 0, (i + 1) * 4 + c.bitwiseAND(F.lit(3)).cast("int"))))
-
-
 def _spread(ids: str, marks: str) -> Column:
     """The id that covers each cell."""
     cells = lambda i: F.shiftright(F.get(marks, i), 2) - F.coalesce(F.shiftright(F.get(marks, i - 1), 2), F.lit(0))
@@ -148,21 +153,16 @@ def _spread(ids: str, marks: str) -> Column:
 
 def _grouped(ids: str, marks: str) -> Column:
     """The ids of each group, joined by commas: a group ends where both tokenizers' tokens end."""
-    told = F.zip_with(ids, marks, lambda x, m: F.concat(x.cast("string"), F.when(m.bitwiseAND(F.lit(3)) == 3, ";").otherwise(",")))
+    told = F.zip_with(ids, marks, lambda x, m: F.concat(x.cast("string"), F.get(F.array(*map(F.lit, ",,,;")), m.bitwiseAND(F.lit(3)))))
     return F.split(F.array_join(told, ""), ";")
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
     """row, doc_id, part, parts, n_a, n_b, n_groups, links_a and links_b (the ids of each link) and the groups as text."""
-    rows = tokens.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    # every end once, with bit 1 where a token of a ends, and bit 2 where one of b does
-    marked = lambda c, bits: F.transform(c, lambda e: e.cast("long") * 4 + bits)
-    cells = F.concat(marked(F.array_except("a_ends", "cuts"), 1), marked(F.array_except("b_ends", "cuts"), 2), marked("cuts", 3))
-    rows = rows.select("row", "doc_id", "part", "parts", "a", "b", F.size("cuts").cast("long").alias("n_groups"), F.sort_array(cells).alias("cells"))
-    rows = rows.select("row", "doc_id", "part", "parts", "a", "b", "n_groups", _marks(1).alias("a_marks"), _marks(2).alias("b_marks"))
     groups = F.array_join(F.zip_with(_grouped("a", "a_marks"), _grouped("b", "b_marks"), lambda x, y: F.when(x != "", F.concat(x, F.lit("|"), y))), ";")
-    return rows.select(
-        "row", "doc_id", "part", "parts", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "n_groups",
+    n_groups = F.size(F.filter("a_marks", lambda m: m.bitwiseAND(F.lit(3)) == 3)).cast("long")
+    return tokens.select(
+        "row", "doc_id", "part", "parts", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), n_groups.alias("n_groups"),
         _spread("a", "a_marks").alias("links_a"), _spread("b", "b_marks").alias("links_b"), groups.alias("groups"),
     )
 

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 from hashlib import sha256
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -73,3 +74,12 @@ def test_windows_end_where_both_tokenizers_end():
         whole, parts = both.tokens(text, 1 << 20), both.tokens(text, 1)
         for k in (0, 2):
             assert [x for w in whole for x in w[k].tolist()] == [x for w in parts for x in w[k].tolist()], text
+
+
+def test_marks_count_cells_and_say_whose_token_ends():
+    ends = lambda *x: np.array(x, np.int32)
+    a, b = ends(7, 8, 9), ends(5, 6)
+    _, a_marks, _, b_marks = alignment.marked(a, ends(2, 5, 9), b, ends(5, 9))
+    assert a_marks.tolist() == [1 * 4 + 1, 2 * 4 + 3, 3 * 4 + 3] and b_marks.tolist() == [2 * 4 + 3, 3 * 4 + 3]
+    none = ends()
+    assert [x.tolist() for x in alignment.marked(none, none, none, none)] == [[], [], [], []]

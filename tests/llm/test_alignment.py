@@ -83,3 +83,70 @@ def test_marks_count_cells_and_say_whose_token_ends():
     assert a_marks.tolist() == [1 * 4 + 1, 2 * 4 + 3, 3 * 4 + 3] and b_marks.tolist() == [2 * 4 + 3, 3 * 4 + 3]
     none = ends()
     assert [x.tolist() for x in alignment.marked(none, none, none, none)] == [[], [], [], []]
+
+
+def read_again(memory, groups):
+    """The ids of both tokenizers that the groups stand for."""
+    return [memory.a.get(groups).tolist(), memory.b.get(groups).tolist()]
+
+
+def test_words_are_tokenised_once_and_groups_sent_once():
+    """The work follows distinct words, and the ids that Spark turns to text and links follow distinct groups."""
+    both, seen = alignment.Both(A, B), []
+    encode = both.a_ids
+    both.a_ids = lambda text: seen.append(text) or encode(text)
+    memory = alignment.Memory(both)
+    texts = ["a few words, then a few words again. " * 40 + "a few"] * 30 + ["a few words"]
+    found = memory.read(texts) + memory.read(texts)
+    assert sum(map(len, seen)) < 60
+    whole = both.tokens(texts[0])
+    assert found[0][:2] == (len(whole[0][0]), len(whole[0][2]))
+    assert read_again(memory, found[0][2]) == [whole[0][0].tolist(), whole[0][2].tolist()]
+    sent = alignment.block(memory, [(i, i, 0, 1, *w) for i, w in enumerate(found)])
+    assert sent.num_rows == 1 and len(sent.column(0)[0]) < 30 and len(sent.column(4)[0]) == len(found)
+
+
+def test_words_equal_whole_texts():
+    """Texts that end where no word may follow, beside others, in any order and again."""
+    both = alignment.Both(A, B)
+    memory = alignment.Memory(both)
+    odd = [t for t in HARD if t] + ["x　 y", "x  y   z", "²  ª _ ٣ ", "tab\t ", "▁ ▁", " ▁a b", "á ́b", "it's 's 're x's", "\x1c \x1d a\x85 b"]
+    for texts in (odd, odd[::-1], [t + u for t in odd for u in (" ", " a", "\n", "", " 's")], [" ".join(odd[:3]), " ".join(odd[7:])]):
+        for text, (n_a, n_b, groups) in zip(texts, memory.read(texts), strict=True):
+            windows = both.tokens(text, 1 << 20)
+            if not windows:
+                assert n_a < 0, text
+                continue
+            assert (n_a, n_b) == (len(windows[0][0]), len(windows[0][2])), text
+            assert read_again(memory, groups) == [windows[0][0].tolist(), windows[0][2].tolist()], text
+            _, marks, _, _ = alignment.marked(*windows[0])
+            assert len(groups) == sum(m & 3 == 3 for m in marks.tolist()), text
+
+
+@pytest.mark.parametrize("read", [1, 60])
+def test_long_documents_equal_brute_force(spark, read):
+    """Texts that are longer than what is read at once, with and without tokens; all of a partition null."""
+    docs = [(i, t) for i, t in enumerate([*HARD, "the last of these words isn't a word ▁ " * 9, "so many words that they come in pieces " * 20])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).unionAll(spark.createDataFrame([(99, None), (98, "")], "doc_id long, text string"))
+    got = alignment.alignments(df, A, B, window=5, read=read)
+    assert sorted(map(tuple, got.collect())) == sorted(brute([*docs, (99, None), (98, "")]))
+
+
+def test_a_full_memory_is_left(monkeypatch):
+    """A long document in blocks of several memories, which each have the groups that they number."""
+    monkeypatch.setattr(alignment, "WORDS", 5)
+    both, text = alignment.Both(A, B), " ".join(f"word{i} and again {i % 7}" for i in range(60))
+    blocks = alignment.long_document(both, 1, 2, text, 10, 40)
+    windows = [w for b in blocks for w in b.column(4)[0].as_py()]
+    assert len(blocks) > 5 and [w["part"] for w in windows] == list(range(len(windows))) and {w["parts"] for w in windows} == {len(windows)}
+    ids = []
+    for b in blocks:
+        a, marks = b.column(0)[0].as_py(), b.column(1)[0].as_py()
+        groups = [[]]
+        for x, m in zip(a, marks, strict=True):
+            groups[-1].append(x)
+            if m & 3 == 3:
+                groups.append([])
+        ids += [x for w in b.column(4)[0].as_py() for g in w["groups"] for x in groups[g]]
+    assert ids == both.tokens(text)[0][0].tolist()
+    assert [b.column(4)[0].as_py() for b in alignment.long_document(both, 1, 2, text + " ▁", 10, 40)] == [[{"row": 1, "doc_id": 2, "part": 0, "parts": 1, "n_a": 0, "n_b": 0, "groups": []}]]

@@ -1,3 +1,6 @@
+import random
+import time
+
 from loomgraph.functions import text
 from loomgraph.operators import bridges, ingest
 from pyspark.sql import functions as F
@@ -40,3 +43,15 @@ def test_edges_flags_mentions_and_features(spark):
 def test_slices_and_sizes(spark):
     r = spark.createDataFrame([("abcdefg", 3), ("", 20), (None, None)], "t string, n int").select(text.fixed_slices(F.col("t"), 3).alias("s"), text.unit_size(F.col("n")).alias("z")).collect()
     assert [x.s for x in r] == [["abc", "def", "g"], [], []] and [x.z for x in r] == [6000, 1200, 6000]
+
+
+def test_many_sessions_are_not_compared_with_every_topic(spark):
+    rng = random.Random(3)
+    rows = [("b", f"s{i:04d}", sorted({f"w{rng.randrange(60_000)}" for _ in range(400)})) for i in range(2000)]
+    rows += [("b", f"t{i:04d}", rows[i][2][:-20] + ["new"]) for i in range(50)]
+    df = spark.createDataFrame(rows, "tenant string, session string, tokens array<string>")
+    began = time.monotonic()
+    got = bridges.topics(df).collect()
+    assert time.monotonic() - began < 25  # each with each takes minutes
+    by = {r.session: r.topic for r in got}
+    assert len(set(by.values())) == 2000 and all(by[f"t{i:04d}"] == by[f"s{i:04d}"] for i in range(50))

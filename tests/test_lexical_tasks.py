@@ -50,3 +50,15 @@ def test_overlap_counts_distinct_words_and_shuffles_only_the_best(spark, monkeyp
     monkeypatch.setattr(lexical, "top", lambda rows, *a, **o: sent.append(rows.count()) or cut(rows, *a, **o))
     lexical.bm25(docs, asked, 2).count()
     assert sent[0] <= 2 * 8 * docs.rdd.getNumPartitions()
+
+
+def test_a_needle_of_many_is_looked_for_once(spark, monkeypatch):
+    texts = spark.createDataFrame([(f"t{i}", f"{w} thing") for i, w in enumerate(["Large ring", "blue ring", "old", None])], "id string, text string")
+    asked = spark.createDataFrame([(i, w) for i in range(400) for w in ("RING", "blue")[: 1 + i % 2]] + [(0, "ring"), (1000, "")], "qid long, needle string")
+    want = sorted((i, t) for i in range(400) for t in ("t0", "t1"))
+    for most in (lexical.MOST_NEEDLES, 1):
+        monkeypatch.setattr(lexical, "MOST_NEEDLES", most)
+        plan = lexical.holding(texts, asked)
+        assert sorted(map(tuple, plan.collect())) == want
+    monkeypatch.undo()
+    assert "[gram" not in lexical.holding(texts, asked)._jdf.queryExecution().optimizedPlan().toString()  # two needles, not 600
